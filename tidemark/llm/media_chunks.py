@@ -166,8 +166,5 @@ def store_and_rebuild(docs: DataFrame, hot: int = HOT) -> DataFrame:
     one = pieces.where("n_chunks = 1").mapInArrow(whole, spec)
     many = pieces.where("n_chunks > 1").groupBy("list").applyInArrow(gathered, spec)
     built = one.unionByName(many).dropDuplicates(["list"])
-    # a list that very many rows share is dealt over several tasks
-    fan = 16
-    left = listed.select("doc_id", "list", F.pmod(F.xxhash64("doc_id"), F.lit(fan)).cast("int").alias("salt"))
-    right = built.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    return left.join(right, ["list", "salt"]).select("doc_id", *(f.split()[0] for f in PARTS.split(", ")))
+    # a list that very many rows share is split by the adaptive skew join; nothing above needs its rows together
+    return listed.select("doc_id", "list").join(built, "list").select("doc_id", *(f.split()[0] for f in PARTS.split(", ")))
