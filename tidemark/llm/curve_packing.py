@@ -15,6 +15,8 @@ result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -72,11 +74,15 @@ def curve_keys(vectors: np.ndarray, plane: np.ndarray, bits: int = BITS) -> np.n
     return hilbert(np.clip((1 << bits) / (1 + np.exp(-1.7 * spots)), 0, (1 << bits) - 1), bits)
 
 
+def narrow(ids: bytes, vocabulary: int) -> bytes:
+    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if vocabulary <= 1 << 16 else ids
+
+
 _CODECS: dict = {}
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n, key, ids of every document; ids end with the end token."""
+    """doc_id, n, key, ids (two bytes each where the vocabulary allows) of every document; ids end with the end token."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -91,7 +97,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             for i, x in enumerate(ids):
                 tokens = np.frombuffer(x, "<u4")
                 vectors[i] = np.bincount(bucket[tokens], sign[tokens], HASHED)
-            yield batch(arrow, [b.column("doc_id"), [len(x) // 4 for x in ids], curve_keys(vectors, plane), ids])
+            yield batch(arrow, [b.column("doc_id"), [len(x) // 4 for x in ids], curve_keys(vectors, plane), [narrow(x, codec.size) for x in ids]])
 
     return documents(docs).mapInArrow(run, "doc_id long, n long, key long, ids binary")
 
@@ -110,19 +116,25 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, keep_ids: bool =
     base = sums.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
     inside = F.sum(F.col("n") * F.col("count")).over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") * F.col("count")
     placed = light.withColumn("inside", inside).join(F.broadcast(base), "part").select("doc_id", "digest", "n", "count", (F.col("inside") + F.col("base")).alias("first"))
-    met = tokens.select("doc_id", "digest", "ids").join(placed, [tokens["doc_id"].eqNullSafe(placed["doc_id"]), tokens["digest"] == placed["digest"]]).select(tokens["doc_id"], tokens["digest"], "ids", "n", "count", "first")
+    # the small side is hashed, so the tokens needn't be sorted
+    met = tokens.select("doc_id", "digest", "ids").join(placed.hint("shuffle_hash"), [tokens["doc_id"].eqNullSafe(placed["doc_id"]), tokens["digest"] == placed["digest"]]).select(tokens["doc_id"], tokens["digest"], "ids", "n", "count", "first")
     single = met.where("count = 1").select("*", F.lit(0).alias("copy"))
     again = met.where("count > 1").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("first")) - 1)
     rows = single.unionByName(again).withColumn("first", F.col("first") + F.col("n") * F.col("copy"))
 
-    def piece(k):
-        first, n = F.col("first"), F.col("n")
-        start = F.greatest(k * sequence - first, F.lit(0).cast("long"))
-        stop = F.least((k + 1) * sequence - first, n)
-        ids = F.substring("ids", (start * 4 + 1).cast("int"), ((stop - start) * 4).cast("int"))
-        fields = [start.alias("start"), (stop - start).alias("length"), F.crc32(ids).alias("ids_crc32"), k.alias("sequence_id"), (first + start - k * sequence).alias("offset")]
-        return F.struct(*fields, *([ids.alias("ids")] if keep_ids else []))
-
-    spread = F.sequence(F.floor(F.col("first") / sequence), F.floor((F.col("first") + F.col("n") - 1) / sequence))
-    out = rows.select("doc_id", "n", "copy", F.transform(spread, piece).alias("pieces")).select("doc_id", "n", "copy", F.explode("pieces").alias("p"))
-    return out.select("doc_id", "p.start", "p.length", "p.ids_crc32", F.col("n").alias("doc_tokens"), "p.sequence_id", "p.offset", "copy", *(["p.ids"] if keep_ids else []))
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("copy", pa.int32())]
+    arrow = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
+
+    def cut(batches):
+        for b in slices(batches, column="ids"):
+            out = []
+            for doc, ids, n, copy, first in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "n", "copy", "first"))):
+                ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
+                for number in range(first // sequence, (first + n - 1) // sequence + 1):
+                    start, stop = max(number * sequence - first, 0), min((number + 1) * sequence - first, n)
+                    part = ids[4 * start : 4 * stop]
+                    out.append((doc, start, stop - start, zlib.crc32(part), n, number, first + start - number * sequence, copy, *([part] * keep_ids)))
+            yield batch(arrow, list(zip(*out)))
+
+    spec = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, copy int" + ", ids binary" * keep_ids
+    return rows.select("doc_id", "ids", "n", "copy", "first").mapInArrow(cut, spec)
