@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, documents, partitions, slices
+from .common import batch, documents, slices
 
 UNIT = 576
 WIDTH = 24
@@ -119,8 +119,6 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def store_and_rebuild(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    spark = docs.sparkSession
-    n = partitions(spark)
     listed = lists(docs)
     place = F.coalesce("doc_id", F.lit(-(2**63)))
     uses = listed.select(place.alias("src"), F.posexplode("digests").alias("seq", "digest"))
@@ -130,8 +128,9 @@ def store_and_rebuild(docs: DataFrame, hot: int = HOT) -> DataFrame:
     named_by = named.groupBy("digest").agg(F.count("*").alias("lists"))
     light = owners.join(named_by, "digest")
     # the store: one row of bytes for each digest, found by a join of digests
-    rows = chunk_rows(docs).repartition(n, "digest")
-    store = rows.join(light.hint("shuffle_hash"), "digest").where("src = own.src and seq = own.seq").select("digest", "bytes", "lists")
+    # (compared by order, as equality would become a key of the join and part it from the next one's)
+    rows = chunk_rows(docs)
+    store = rows.join(light.hint("shuffle_hash"), "digest").where(F.struct("src", "seq") <= F.col("own")).select("digest", "bytes", "lists")
     few = store.where(F.col("lists") <= hot)
     asked = named.join(named_by, "digest")
     plain = few.join(asked.where(F.col("lists") <= hot).drop("lists").hint("shuffle_hash"), "digest")
