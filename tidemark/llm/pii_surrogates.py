@@ -54,7 +54,10 @@ PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.?)[ ]((?:[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?)?)")
 NAMED = re.compile(r"(?<!\w)(" + "|".join(sorted(GIVEN, key=len, reverse=True)) + r") ([^\W\d_a-zа-яα-ω][^\W\d_]{2,})(?!\w)")
-DIGIT = re.compile(r"\d{3}")
+DIGIT = re.compile(r"\d")
+#: Words that begin like names do; `\w` alone would also take the rest of a word.
+CAPITAL = re.compile(r"(?<!\w)[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]*|(?<!\w)г-(?:н|жа)")
+CUES = {*TITLES, *GIVEN}
 WITH_DIGITS = [("iban", IBAN), ("card", CARD), ("ssn", SSN), ("phone", PHONE), ("ip", IP)]
 
 
@@ -69,18 +72,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add("email", *m.span())
-    for m in SECRET.finditer(text):
-        if any(c.isdigit() for c in m[0]):
-            add("secret", *m.span())
-    if DIGIT.search(text) or text.count(".") >= 3:
+    if DIGIT.search(text):  # all of these hold a digit
+        for m in SECRET.finditer(text):
+            if any(c.isdigit() for c in m[0]):
+                add("secret", *m.span())
         for kind, pattern in WITH_DIGITS:
             for m in pattern.finditer(text):
                 add(kind, *m.span())
-    for m in PERSON.finditer(text):
-        gender = TITLES[m[1]]
-        add(f"person-{gender}", *m.span(3))
-    for m in NAMED.finditer(text):
-        add(f"person-{GIVEN[m[1]][1]}", *m.span())
+    if not CUES.isdisjoint(CAPITAL.findall(text)):
+        for m in PERSON.finditer(text):
+            add(f"person-{TITLES[m[1]]}", *m.span(3))
+        for m in NAMED.finditer(text):
+            add(f"person-{GIVEN[m[1]][1]}", *m.span())
     return sorted(found)
 
 
