@@ -45,50 +45,48 @@ def parents(nodes: DataFrame, keys: list[str], at: Column) -> DataFrame:
 
 
 def tree(leaves: DataFrame, per_file: int = RECORDS, files: int = 1) -> list[DataFrame]:
-    """Levels from the leaves (file, at, digest, offset, size) up to one root (at)."""
-    levels = [leaves.select("file", F.col("number").alias("at"), "digest", "offset", "size")]
-    wide = per_file
-    while wide > 1:
-        levels.append(parents(levels[-1], ["file"], F.floor(F.col("at") / FAN)))
-        wide = -(-wide // FAN)
-    levels.append(levels[-1].select(F.lit(0).cast("long").alias("file"), F.col("file").alias("at"), "digest", F.lit(0).cast("long").alias("offset"), "size"))
-    wide = files
-    while wide > 1:
-        levels.append(parents(levels[-1], ["file"], F.floor(F.col("at") / FAN)))
-        wide = -(-wide // FAN)
+    """Levels from the leaves (side, file, at, digest, offset, size) up to one root a side, each level written once."""
+    levels, keys = [leaves], ["side", "file"]
+
+    def grow(wide: int) -> None:
+        while wide > 1:
+            levels.append(materialize(parents(levels[-1], keys, F.floor(F.col("at") / FAN)), "merkle-level"))
+            wide = -(-wide // FAN)
+
+    grow(per_file)
+    levels.append(levels[-1].select("side", F.lit(0).cast("long").alias("file"), F.col("file").alias("at"), "digest", F.lit(0).cast("long").alias("offset"), "size"))
+    grow(files)
     return levels
 
 
-def audit(first: DataFrame, second: DataFrame, per_file: int = RECORDS) -> DataFrame:
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """file, number, offset, size, page_id, status of every record of either replica."""
-    one, two = materialize(first, "merkle-first"), materialize(second, "merkle-second")
-    top = one.unionByName(two).agg(F.max("file"), F.min("file"), F.max("number")).first()
+    both = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
+    both = materialize(both, "merkle-records")
+    top = both.agg(F.max("file"), F.min("file"), F.max("number")).first()
     if top[0] is None:
-        return one.select("file", "number", "offset", "size", "page_id", F.lit("").alias("status"))
-    fullest, files = top[2] + 1, top[0] - min(top[1], 0) + 1
+        return both.select("file", "number", "offset", "size", "page_id", F.lit("").alias("status"))
     shift = min(top[1], 0)  # files count from 0
-    one, two = (x.withColumn("file", F.col("file") - shift) for x in (one, two))
-    a, b = tree(one, fullest, files), tree(two, fullest, files)
-    names = len(a) - 1 - _levels(files)  # where nodes stop being parts of a file
+    fullest, files = top[2] + 1, top[0] - shift + 1
+    both = both.withColumn("file", F.col("file") - shift)
+    levels = tree(both.select("side", "file", F.col("number").alias("at"), "digest", "offset", "size"), fullest, files)
+    names = len(levels) - 1 - _levels(files)  # the level whose nodes are whole files
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     bad = None
-    for n in range(len(a) - 1, -1, -1):
-        own = (a[n], b[n])
+    for n in range(len(levels) - 1, -1, -1):
+        own = levels[n]
         if bad is not None:
-            if n == names - 1:  # from files to ranges in them
-                link = [F.col("at").alias("file"), F.lit(0).cast("long").alias("up")]
-            else:
-                link = ["file", F.col("at").alias("up")]
-            asked = bad.select(*link)
-            up = F.lit(0).cast("long") if n == names - 1 else F.floor(F.col("at") / FAN)
-            own = tuple(x.withColumn("up", up).join(asked, ["file", "up"], "left_semi").drop("up") for x in own)
-        pair = own[0].alias("x").join(own[1].alias("y"), ["file", "at"], "full_outer")
-        bad = pair.where(~F.col("x.digest").eqNullSafe(F.col("y.digest")) | ~F.col("x.offset").eqNullSafe(F.col("y.offset"))).select("file", "at", F.col("x.digest").isNull().alias("added"), F.col("y.digest").isNull().alias("missing"), (~F.col("x.digest").eqNullSafe(F.col("y.digest"))).alias("differs"))
-    known = one.select("file", F.col("number").alias("at"), "offset", "size", "page_id")
-    extra = two.select("file", F.col("number").alias("at"), F.col("offset").alias("o2"), F.col("size").alias("s2"), F.col("page_id").alias("p2"))
-    status = F.when(F.col("added"), "added").when(F.col("missing"), "missing").when(F.col("differs"), "corrupt").otherwise("ok")
-    out = known.join(bad.where("not added"), ["file", "at"], "left").select("file", "at", "offset", "size", "page_id", status.alias("status"))
-    more = extra.join(bad.where("added"), ["file", "at"]).select("file", "at", F.col("o2").alias("offset"), F.col("s2").alias("size"), F.col("p2").alias("page_id"), F.lit("added").alias("status"))
-    return out.unionByName(more).select((F.col("file") + shift).alias("file"), F.col("at").alias("number"), "offset", "size", "page_id", "status")
+            inward = n == names - 1  # from files to the ranges in them
+            asked = bad.select(F.col("at").alias("file"), F.lit(0).cast("long").alias("up")) if inward else bad.select("file", F.col("at").alias("up"))
+            up = F.lit(0).cast("long") if inward else F.floor(F.col("at") / FAN)
+            own = own.withColumn("up", up).join(asked, ["file", "up"], "left_semi")
+        pair = own.groupBy("file", "at").agg(*(of(i, c).alias(f"{c}{i}") for c in ("digest", "offset") for i in (0, 1)))
+        bad = pair.where(~F.col("digest0").eqNullSafe(F.col("digest1")) | ~F.col("offset0").eqNullSafe(F.col("offset1")))
+        bad = materialize(bad.select("file", "at", "digest0", "digest1"), "merkle-differ")
+    status = F.when(F.col("at").isNull(), "ok").when(F.col("digest0").isNull(), "added").when(F.col("digest1").isNull(), "missing").when(F.col("digest0") != F.col("digest1"), "corrupt").otherwise("ok")
+    known = both.join(bad.withColumnRenamed("file", "bad_file"), (F.col("file") == F.col("bad_file")) & (F.col("number") == F.col("at")), "left")
+    out = known.select((F.col("file") + shift).alias("file"), "number", "offset", "size", "page_id", status.alias("status"), "side")
+    return out.where("side = 0 or status = 'added'").drop("side")
 
 
 def _levels(files: int) -> int:
