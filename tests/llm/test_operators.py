@@ -168,7 +168,7 @@ def test_op9(spark, limit):
             least[g] = min(d, least.get(g, d))
     want = Counter((d, f"{p:016x}", least.get(g)) for (d, _), p, g in zip(rows, prints, group))
     assert Counter(map(tuple, simhash_dedup.classes(docs, tree_limit=limit).collect())) == want
-    kept = [r["doc_id"] for r in simhash_dedup.keep_one(docs, 2, 3, limit, 0).collect()]
+    kept = [r["doc_id"] for r in simhash_dedup.keep_one(docs, simhash_dedup.classes(docs, tree_limit=limit)).collect()]
     assert Counter(kept) == Counter([*set(least.values()), None])
     wide = [r["doc_id"] for r in simhash_dedup.keep_one(docs, tree_limit=limit).collect()]
     assert set(wide) <= {*range(len(TEXTS) + 1), None} and {3, 4, 5, 7, 9} <= set(wide) and 10 not in wide and len(wide) == len(set(wide))
@@ -181,7 +181,7 @@ def test_simhash_random_links(spark):
     values = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 3))) & (2**64 - 1) for b in base for _ in range(12)})
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     for limit in (8192, 4):
-        edges = simhash_dedup.sharded_links(spark.createDataFrame([(v, 0, v) for v in signed], "fp long, more long, node long"), 2, limit)
+        edges = simhash_dedup.sharded_links(spark.createDataFrame([([v], 0, v) for v in signed], "fps array<long>, more long, node long"), 2, limit)
         got = {r["node"]: r["component"] for r in components.components(edges).collect()}
         group = grouped(signed, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 2)
         least = {}

@@ -8,9 +8,10 @@ its own distance, then added. A shard emits one link per member to a member of i
 A shard of more than `tree_limit` fingerprints is cut into slices: each slice's tree is sent to each later slice of
 that shard, so no task holds more than two slices. A tree that is sent has at most tree_limit entries of 16 bytes.
 
-`confirm` asks for more: documents link only if their fingerprints of so many words a shingle agree in 80 % of the bits
-too. With fingerprints of single words, which a few changed words turn least, and confirmation by shingles of five, this
-finds near copies by content (`keep_one`).
+Near copies by content (`keep_one`) are looked for with several fingerprints of single words, each of its own hash and
+without the shortest words, which all texts of a language share: a changed word turns few of their bits, and what one
+misses another finds. They link only if their fingerprints of five-word shingles agree in so many bits as texts of a
+similarity of 0.8 do.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other. Repeated rows
 are kept. Extra columns are dropped. Rows with a null doc_id get the class of their fingerprint like any other; the
@@ -34,7 +35,10 @@ RADIUS = 2
 SHINGLE = 3
 TREE_LIMIT = 8192
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-CONFIRM_BITS = 12
+#: Of pairs whose five-word shingles have a Jaccard similarity of 0.8 and more, at most so many of 64 bits differ.
+CONFIRM_BITS = 14
+#: keep_one: hashes, radius and the least letters of a word.
+SEEDS, WORD_RADIUS, WORD_BYTES = 4, 4, 4
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -49,25 +53,56 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter([digest(line[a:b], 42) for a, b in zip(starts, stops)], "<u8", n)
-    counts = np.zeros(64, np.int64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    counts, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, confirm: int = 0) -> DataFrame:
-    """doc_id, fp and more (64 bits as a signed long), node (names the pair)."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("more", pa.int64())])
+def word_hashes(text: str, seeds: int = SEEDS, least: int = WORD_BYTES) -> list[int]:
+    """Fingerprints of single words by several hashes; of all words if none is long enough."""
+    words = text.encode().translate(LOWER).split()
+    words = [w for w in words if len(w) >= least] or words
+    if not words:
+        return [0] * seeds
+    digest = xxhash.xxh64_intdigest
+    once = np.fromiter([digest(w, 42) for w in words], "<u8", len(words))
+    return [majority(remixed(once, i)) for i in range(seeds)]
+
+
+def remixed(x: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash from a hash (the finalizer of splitmix64)."""
+    x = x + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fps (one, the 64 bits as a signed long), more (0), node (the fingerprint)."""
+    return _prints(docs, lambda t: ([simhash(t, shingle)], 0)).withColumn("node", F.col("fps")[0])
+
+
+def content_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, fps (of words, by several hashes), more (of shingles), node (names both)."""
+    return _prints(docs, lambda t: (word_hashes(t), simhash(t, shingle))).withColumn("node", F.xxhash64("fps", "more"))
+
+
+def _prints(docs: DataFrame, of) -> DataFrame:
+    arrow = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64())), ("more", pa.int64())])
+    signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
     def run(batches):
         for b in slices(batches):
-            texts = b.column("text").to_pylist()
-            values = [np.array([simhash(t, n) if n else 0 for t in texts], np.uint64).view(np.int64) for n in (shingle, confirm)]
-            yield batch(arrow, [b.column("doc_id"), *values])
+            got = [of(t) for t in b.column("text").to_pylist()]
+            yield batch(arrow, [b.column("doc_id"), [signed(fps) for fps, _ in got], signed([more for _, more in got])])
 
-    found = documents(docs).mapInArrow(run, "doc_id long, fp long, more long")
-    return found.withColumn("node", F.xxhash64("fp", "more") if confirm else F.col("fp"))
+    return documents(docs).mapInArrow(run, "doc_id long, fps array<long>, more long")
 
 
 class BKTree:
@@ -132,23 +167,27 @@ def links(tree_rows: list[tuple], queries: list[tuple], same: bool, radius: int
     return out
 
 
-def block_keys(radius: int) -> list:
-    """For every two of radius + 2 blocks of fp: a column that tells the blocks and holds their bits."""
+def block_keys(fp, radius: int, seed: int) -> list:
+    """For every two of radius + 2 blocks of a fingerprint: a number that tells hash and blocks and holds their bits."""
     blocks = radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    return [F.lit(n * (1 << 48)) + part[i] * (1 << (edges[j + 1] - edges[j])) + part[j] for n, (i, j) in enumerate(combinations(range(blocks), 2))]
+    part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    return [F.lit((seed * 64 + n) * (1 << 48)) + part[i] * (1 << (edges[j + 1] - edges[j])) + part[j] for n, (i, j) in enumerate(combinations(range(blocks), 2))]
 
 
-def sharded_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE_LIMIT) -> DataFrame:
-    """(a, b): links of nodes. prints: distinct fp, more, node."""
+def sharded_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE_LIMIT, seeds: int = 1) -> DataFrame:
+    """(a, b): links of nodes. prints: distinct fps, more, node."""
     spark = prints.sparkSession
     if not 1 <= radius <= 6:
         raise ValueError("blocks serve a radius of 1 to 6")
     row = ["fp", "more", "node"]
-    routed = prints.select(*row, F.explode(F.array(*block_keys(radius))).alias("key"))
+    keys = [k for i in range(seeds) for k in block_keys(F.col("fps")[i], radius, i)]
+    # most keys are of one document: only names are dealt until those are gone
+    routed = prints.select("node", F.explode(F.array(*keys)).alias("key"))
     sizes = routed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    routed = materialize(routed.join(sizes, "key"), "simhash-shards")
+    seed = F.shiftright("key", 54).cast("int")
+    routed = routed.join(sizes, "key").join(prints, "node").select(F.element_at("fps", seed + 1).alias("fp"), "more", "node", "key", "size")
+    routed = materialize(routed, "simhash-shards")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     unsign = (1 << 64) - 1
 
@@ -181,17 +220,25 @@ def sharded_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE_LIM
     return found.unionByName(cut)
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree_limit: int = TREE_LIMIT, confirm: int = 0) -> DataFrame:
+def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
-    prints = materialize(fingerprints(docs, shingle, confirm), "simhash-prints")
-    least = prints.groupBy("fp", "more", "node").agg(F.min("doc_id").alias("least"))
-    joined = components(sharded_links(least.select("fp", "more", "node"), radius, tree_limit))
+    return _classes(fingerprints(docs, shingle), radius, tree_limit, 1)
+
+
+def content_classes(docs: DataFrame, tree_limit: int = TREE_LIMIT) -> DataFrame:
+    return _classes(content_fingerprints(docs), WORD_RADIUS, tree_limit, SEEDS)
+
+
+def _classes(prints: DataFrame, radius: int, tree_limit: int, seeds: int) -> DataFrame:
+    prints = materialize(prints, "simhash-prints")
+    least = prints.groupBy("node", "fps", "more").agg(F.min("doc_id").alias("least"))
+    joined = components(sharded_links(least.select("fps", "more", "node"), radius, tree_limit, seeds))
     # of each component of nodes the least document
     member = least.select("node", "least").join(joined, "node")
     roots = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = dealt_join(member.select("node", "component"), roots, "component", "node").select("node", "component_id")
     named = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    found = dealt_join(prints.select("doc_id", "fp", "node"), named, "node", "doc_id")
+    found = dealt_join(prints.select("doc_id", F.col("fps")[0].alias("fp"), "node"), named, "node", "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -202,10 +249,11 @@ def dealt_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int =
     return left.join(right, [key, "salt"]).drop("salt")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 1, tree_limit: int = TREE_LIMIT, confirm: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """docs with one row of each class: the one whose doc_id is the class's least; of rows that repeat a doc_id one stays.
     Rows without a doc_id can't be named and stay, one for each text."""
-    found = materialize(classes(docs, radius, shingle, tree_limit, confirm).where("doc_id is not null").select("doc_id", "component_id"), "simhash-classes")
+    found = content_classes(docs, tree_limit) if found is None else found
+    found = materialize(found.where("doc_id is not null").select("doc_id", "component_id"), "simhash-classes")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
     out = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id_"), "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
