@@ -38,7 +38,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Of pairs whose five-word shingles have a Jaccard similarity of 0.8 and more, at most so many of 64 bits differ.
 CONFIRM_BITS = 14
 #: keep_one: hashes, radius and the least letters of a word.
-SEEDS, WORD_RADIUS, WORD_BYTES = 4, 4, 4
+SEEDS, WORD_RADIUS, WORD_BYTES = 6, 3, 4
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -138,8 +138,8 @@ class BKTree:
 
 
 def links(tree_rows: list[tuple], queries: list[tuple], same: bool, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (node, node) that join each class of (fp, more, node) rows within the radius; same: the queries are the tree's
-    own rows."""
+    """Links (node, least node of its class) for the classes of (fp, more, node) rows within the radius; same: the queries
+    are the tree's own rows."""
     tree, held, up = BKTree(), [], {}
 
     def top(x):
@@ -151,7 +151,6 @@ def links(tree_rows: list[tuple], queries: list[tuple], same: bool, radius: int
         tree.add(row[0])
         held.append(row)
 
-    out = []
     for row in [] if same else tree_rows:
         add(row)
     for row in queries:
@@ -161,10 +160,9 @@ def links(tree_rows: list[tuple], queries: list[tuple], same: bool, radius: int
                 a, b = top(other[2]), top(row[2])
                 if a != b:
                     up[max(a, b)] = min(a, b)
-                    out.append((other[2], row[2]))
         if same:
             add(row)
-    return out
+    return [(x, top(x)) for x in up if top(x) != x]
 
 
 def block_keys(fp, radius: int, seed: int) -> list:
@@ -255,7 +253,7 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None, tree_limit: int =
     found = content_classes(docs, tree_limit) if found is None else found
     found = materialize(found.where("doc_id is not null").select("doc_id", "component_id"), "simhash-classes")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id_"), "left_semi")
+    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("kept_id_"), "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
