@@ -6,10 +6,10 @@ prefix, so a restarted delivery decides as it did at its place in one uninterrup
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from .state import last_arrival
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 STRATEGIES = ("arrival", "id_only", "version")
 PAYLOAD = ["key", "version", "value", "deleted"]
@@ -23,67 +23,84 @@ def invalid_events(events: DataFrame) -> DataFrame:
     return events.select("q", error.alias("error")).where("error is not null")
 
 
-def conflicting_ids(events: DataFrame) -> DataFrame:
-    """event_id, payloads: ids that stand for more than one payload."""
-    return events.groupBy("event_id", *PAYLOAD).agg(F.lit(1).alias("one")).groupBy("event_id").agg(F.count("*").alias("payloads")).where("payloads > 1")
+def conflicting_ids(events: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
+    """event_id, payloads: ids that stand for more than one payload. Runs are columns that keep streams apart."""
+    return events.groupBy(*runs, "event_id", *PAYLOAD).agg(F.lit(1).alias("one")).groupBy(*runs, "event_id").agg(F.count("*").alias("payloads")).where("payloads > 1")
 
 
-def conflicting_versions(events: DataFrame) -> DataFrame:
+def conflicting_versions(events: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
     """key, version, payloads: versions of a key with more than one value."""
-    return events.groupBy("key", "version", "value", "deleted").agg(F.lit(1).alias("one")).groupBy("key", "version").agg(F.count("*").alias("payloads")).where("payloads > 1")
+    return events.groupBy(*runs, "key", "version", "value", "deleted").agg(F.lit(1).alias("one")).groupBy(*runs, "key", "version").agg(F.count("*").alias("payloads")).where("payloads > 1")
 
 
-def redelivered(events: DataFrame, total: int, backwards: bool = True) -> DataFrame:
+def redelivered(events: DataFrame, total: int | Column, backwards: bool = True) -> DataFrame:
     """The deliveries 0..total-1 and all of them again."""
-    again = F.lit(2 * total - 1) - F.col("q") if backwards else F.col("q") + total
+    again = F.lit(2) * F.lit(total) - 1 - F.col("q") if backwards else F.col("q") + total
     return events.unionByName(events.withColumn("q", again))
 
 
-def decisions(deliveries: DataFrame, strategy: str) -> DataFrame:
-    """deliveries with decision (applied, duplicate, stale, conflict) and regressed (an applied row below the version
-    applied before). What comes after the first conflict isn't delivered."""
+def regressions(rows: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
+    """rows with regressed: an applied row below the version applied before it to its key."""
+    before = Window.partitionBy(*runs, "key").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    prior = F.last(F.when(F.col("decision") == "applied", F.col("version")), ignorenulls=True).over(before)
+    return rows.withColumn("regressed", (F.col("decision") == "applied") & F.coalesce(prior > F.col("version"), F.lit(False)))
+
+
+def decisions(deliveries: DataFrame, strategy: str, runs: Sequence[str] = ()) -> DataFrame:
+    """deliveries with decision (applied, duplicate, stale, conflict) and regressed. What comes after the first conflict
+    of a run isn't delivered."""
     if strategy not in STRATEGIES:
         raise ValueError("invalid strategy")
-    by_id = Window.partitionBy("event_id").orderBy("q")
-    by_key = Window.partitionBy("key").orderBy("q")
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    by_id = Window.partitionBy(*runs, "event_id").orderBy("q")
+    before = Window.partitionBy(*runs, "key").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
     rows = deliveries
     decision = F.lit("applied")
     if strategy != "arrival":
         rows = rows.withColumn("nth_", F.row_number().over(by_id)).withColumn("first_", F.first(F.struct(*PAYLOAD)).over(by_id))
         if strategy == "version":
-            same = F.first(F.struct("value", "deleted")).over(Window.partitionBy("key", "version").orderBy("q"))
+            same = F.first(F.struct("value", "deleted")).over(Window.partitionBy(*runs, "key", "version").orderBy("q"))
             rows = rows.withColumn("top_", F.max("version").over(before)).withColumn("same_", same)
             decision = F.when((F.col("version") == F.col("top_")) & (F.struct("value", "deleted") != F.col("same_")), "conflict").when(F.col("version") < F.col("top_"), "stale").otherwise("applied")
         decision = F.when((F.col("nth_") > 1) & (F.struct(*PAYLOAD) != F.col("first_")), "conflict").when(F.col("nth_") > 1, "duplicate").otherwise(decision)
-    rows = rows.withColumn("decision", decision).drop("nth_", "first_", "top_", "same_")
-    prior = F.last(F.when(F.col("decision") == "applied", F.col("version")), ignorenulls=True).over(before)
-    rows = rows.withColumn("regressed", (F.col("decision") == "applied") & F.coalesce(prior > F.col("version"), F.lit(False)))
+    rows = regressions(rows.withColumn("decision", decision).drop("nth_", "first_", "top_", "same_"), runs)
     if strategy == "arrival":
         return rows
+    if runs:
+        stops = rows.where("decision = 'conflict'").groupBy(*runs).agg(F.min("q").alias("stop_"))
+        return rows.join(stops, list(runs), "left").where(F.coalesce(F.col("q") <= F.col("stop_"), F.lit(True))).drop("stop_")
     stop = rows.where("decision = 'conflict'").agg(F.min("q").alias("stop_"))  # one row
     return rows.join(F.broadcast(stop), F.coalesce(F.col("q") <= F.col("stop_"), F.lit(True))).drop("stop_")
 
 
-def phased(decided: DataFrame, total: int, checkpoint: int, interruption: int) -> DataFrame:
-    """A row for each time a delivery is made: attempt, restart or redelivery."""
-    if not 0 <= checkpoint <= interruption <= total:
+def phased(decided: DataFrame, total: int | Column, checkpoint: int | Column, interruption: int | Column, runs: Sequence[str] = (), validated: bool = False) -> DataFrame:
+    """A row for each time a delivery is made: attempt, restart or redelivery. Validated deliveries hold no conflict, so
+    no attempt can end early."""
+    if isinstance(total, int) and not 0 <= checkpoint <= interruption <= total:
         raise ValueError("require 0 <= checkpoint <= interruption <= event count")
     q = F.col("q")
     phases = F.array_compact(F.array(F.when(q < interruption, F.lit("attempt")), F.when((q >= checkpoint) & (q < total), F.lit("restart")), F.when(q >= total, F.lit("redelivery"))))
-    stop = decided.where((F.col("decision") == "conflict") & (q < interruption)).agg(F.count("*").alias("halted_"))
-    rows = decided.withColumn("phase", F.explode(phases)).join(F.broadcast(stop), F.lit(True))
+    rows = decided.withColumn("phase", F.explode(phases))
+    if validated:
+        return rows
+    stop = decided.where((F.col("decision") == "conflict") & (q < interruption)).groupBy(*runs).agg(F.count("*").alias("halted_"))
+    if runs:
+        return rows.join(stop, list(runs), "left").where("halted_ is null or phase = 'attempt'").drop("halted_")
+    rows = rows.join(F.broadcast(stop), F.lit(True))
     return rows.where("halted_ = 0 or phase = 'attempt'").drop("halted_")
 
 
-def counters(phased_rows: DataFrame) -> DataFrame:
-    return phased_rows.groupBy("phase", "decision").agg(F.count("*").alias("deliveries"))
+def counters(phased_rows: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
+    return phased_rows.groupBy(*runs, "phase", "decision").agg(F.count("*").alias("deliveries"))
+
+
+def violations(phased_rows: DataFrame, checkpoint: int | Column, runs: Sequence[str] = ()) -> DataFrame:
+    return phased_rows.groupBy(*runs).agg(*violation_counts(checkpoint))
 
 
-def violations(phased_rows: DataFrame, checkpoint: int) -> DataFrame:
+def violation_counts(checkpoint: int | Column) -> list[Column]:
     bad, attempt = F.col("regressed"), F.col("phase") == "attempt"
-    return phased_rows.agg(F.count_if(bad & attempt).alias("attempted"), F.count_if(bad & attempt & (F.col("q") < checkpoint)).alias("committed_prefix"), F.count_if(bad & ~attempt).alias("recovered"))
+    return [F.count_if(bad & attempt).alias("attempted"), F.count_if(bad & attempt & (F.col("q") < checkpoint)).alias("committed_prefix"), F.count_if(bad & ~attempt).alias("recovered")]
 
 
-def final_state(decided: DataFrame) -> DataFrame:
-    return last_arrival(decided.where("decision = 'applied'").select("q", *PAYLOAD), "key", "q").select(*PAYLOAD)
+def final_state(decided: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
+    return decided.where("decision = 'applied'").groupBy(*runs, "key").agg(F.max_by(F.struct(*PAYLOAD[1:]), "q").alias("r_")).select(*runs, "key", "r_.*")

@@ -5,6 +5,7 @@ Runs are independent groups; a run's deliveries must fit one task, as its ledger
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 
 import pandas as pd
@@ -44,6 +45,28 @@ def play(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["run_id", "q", "decision", "ledger_size", "ledger_peak"])
 
 
+TRACED = f"{PLAYED}, before string, after string, state string"
+
+
+def play_traced(rows: pd.DataFrame) -> pd.DataFrame:
+    """play with the key's state before and after each delivery and all states after it, as JSON."""
+    played = play(rows).merge(rows[["q", "key", "version", "value", "deleted"]], on="q")
+    state: dict = {}
+    steps = []
+    for r in played.itertuples():
+        before = state.get(r.key)
+        if r.decision == "applied":
+            state[r.key] = {"version": int(r.version), "value": r.value, "deleted": bool(r.deleted)}
+        steps.append([json.dumps(x, sort_keys=True) for x in (before, state.get(r.key), state)])
+    played[["before", "after", "state"]] = steps
+    return played[["run_id", "q", "decision", "ledger_size", "ledger_peak", "before", "after", "state"]]
+
+
+def replay_traced(deliveries: DataFrame) -> DataFrame:
+    """replay_bounded with a full trace; the trace grows with deliveries times keys, so it is for small runs."""
+    return deliveries.groupBy("run_id").applyInPandas(play_traced, TRACED)
+
+
 def replay_bounded(deliveries: DataFrame) -> DataFrame:
     """deliveries: run_id, strategy, capacity (null: no bound), q, event_id, key, version, value, deleted."""
     return deliveries.groupBy("run_id").applyInPandas(play, PLAYED)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,10 @@ def latest_version(df: DataFrame, key: str = "key") -> DataFrame:
     return latest(df.select("key", "version", "value", "deleted"), key, F.struct("version", "value", "deleted"))
 
 
-def diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
+def diff(actual: DataFrame, expected: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
     """key, reason for every key whose (version, value, deleted) differ."""
-    a, e = (x.select("key", F.struct("version", "value", "deleted").alias(n)) for x, n in ((actual, "a"), (expected, "e")))
-    both = a.join(e, "key", "full_outer").where(~F.col("a").eqNullSafe(F.col("e")))
+    a, e = (x.select(*runs, "key", F.struct("version", "value", "deleted").alias(n)) for x, n in ((actual, "a"), (expected, "e")))
+    both = a.join(e, [*runs, "key"], "full_outer").where(~F.col("a").eqNullSafe(F.col("e")))
     reason = (
         F.when(F.col("a").isNull(), "missing key")
         .when(F.col("e").isNull(), "unexpected key")
@@ -42,4 +44,4 @@ def diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
         .when(F.col("a.version") > F.col("e.version"), "unexpected newer version")
         .otherwise("payload/tombstone mismatch")
     )
-    return both.select("key", reason.alias("reason"))
+    return both.select(*runs, "key", reason.alias("reason"))
