@@ -72,8 +72,9 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def union_ragged(first: DataFrame, *more: DataFrame) -> DataFrame:
+    first = first.select("*")  # a bare range is typed and takes no columns
     for df in more:
-        first = first.unionByName(df, allowMissingColumns=True)
+        first = first.unionByName(df.select("*"), allowMissingColumns=True)
     return first.select(*sorted(first.columns))
 
 
