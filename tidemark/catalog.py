@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cdc, checks, controls, faults, ledger, state
-from .plans import compositions
+from .plans import compositions, lab, matrix, suites
+from .sources import generators
 from .streaming import materializer
 
 QUERIES: dict = {}
@@ -393,3 +394,56 @@ def cdc_stream_restart(spark, sf_dir):
         stream.awaitTermination()
         committed = max(committed, materializer.committed(stream))
     return materializer.table(spark, f"{root}/state", committed)
+
+
+# -- generators and experiments ----------------------------------------------------------------------------------------
+
+
+@query("SELECT v * 64 + k AS q, 'b' || k || ':v' || (v + 1) AS event_id, 'k' || k AS key, v + 1 AS version, 'value-' || (v + 1) AS value, v = 2 AS deleted FROM range(64) a(k), range(4) b(v)")
+def gen_changes(spark, sf_dir):
+    return generators.changes(spark, 64)
+
+
+@query("SELECT 'e' || i AS event_id, 'entity-' || i % 500 AS entity_id, 'k' || i AS business_key, TIMESTAMP '2026-04-01' + INTERVAL 1 SECOND * i AS event_ts, i AS arrival_seq FROM range(10000) r(i)")
+def gen_hashed_events(spark, sf_dir):
+    """Values come from Spark's hash and aren't compared."""
+    events = generators.hashed_events(spark, 10_000, 7)
+    return events.select("event_id", "entity_id", "business_key", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "arrival_seq")
+
+
+@query("SELECT false AS passed, false AS strict, 3::BIGINT AS rows_checked, 1::BIGINT AS invalid_key_rows, 3::BIGINT AS selected_rows, 1::BIGINT AS duplicate_groups, 2::BIGINT AS duplicate_rows, 1::BIGINT AS excess_rows, 1::BIGINT AS null_key_rows_excluded")
+def source_example(spark, sf_dir):
+    """The built-in three rows under the duplicate check."""
+    from .cli import EXAMPLE, EXAMPLE_COLUMNS
+
+    return checks.duplicate_keys(spark.createDataFrame(EXAMPLE, EXAMPLE_COLUMNS), ["id"])
+
+
+for _tie, _sql in {"first_arrival": "event_id", "event_id": "event_id::VARCHAR DESC", "last_arrival": "event_id DESC"}.items():
+    # event times cut to days tie often
+    query(f"SELECT user_id AS entity_id, date_trunc('day', ts)::TIMESTAMP AS event_ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, {_sql}) = 1", f"state_tie_{_tie}")(
+        lambda spark, sf_dir, tie=_tie: state.latest_event_time(read(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("event_ts"), "event_id", F.col("event_id").alias("arrival_seq")), tie=tie).select("entity_id", "event_ts", "event_id")
+    )
+
+
+@query(f"{FAULTED_SQL} SELECT entity_id, count(*) AS deliveries, count(*) FILTER (back) AS out_of_order FROM (SELECT entity_id, event_ts < lag(event_ts) OVER (PARTITION BY entity_id ORDER BY arrival_seq) AS back FROM f) GROUP BY 1")
+def event_time_order(spark, sf_dir):
+    """Deliveries that go back in event time, for each entity."""
+    return state.order_breaks(faulted(spark, sf_dir))
+
+
+@query()
+def lab_strategy_report(spark, sf_dir):
+    """Right, wrong and rejected runs and the violations of each policy over all scenarios."""
+    return lab.by_strategy(lab.observe(spark))
+
+
+@query()
+def ledger_expiry_report(spark, sf_dir):
+    return lab.expiry_probe(spark)
+
+
+for _suite in (1, 2, 3):
+    query(name=f"suite_{_suite}_summary")(lambda spark, sf_dir, suite=_suite: suites.summary(suites.observe(spark, suites.grid(suite, sizes=(1000,)))))
+query(name="suite_4_summary")(lambda spark, sf_dir: matrix.summary(matrix.observe_prefix(spark, matrix.grid(4, sizes=(1000,)))))
+query(name="suite_5_summary")(lambda spark, sf_dir: matrix.summary(matrix.observe_recovery(spark, matrix.grid(5, sizes=(1000,)))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What wins among rows of one entity with one event time.
@@ -45,3 +45,9 @@ def diff(actual: DataFrame, expected: DataFrame, runs: Sequence[str] = ()) -> Da
         .otherwise("payload/tombstone mismatch")
     )
     return both.select(*runs, "key", reason.alias("reason"))
+
+
+def order_breaks(df: DataFrame, key: str = "entity_id") -> DataFrame:
+    """key, deliveries, out_of_order: how often an entity's event time goes back."""
+    back = F.col("event_ts") < F.lag("event_ts").over(Window.partitionBy(key).orderBy("arrival_seq"))
+    return df.select(key, back.alias("back_")).groupBy(key).agg(F.count("*").alias("deliveries"), F.count_if("back_").alias("out_of_order"))
