@@ -204,6 +204,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(60)) <= kept and len(kept) <= 62
 
 
+def similarity(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("crowd", [8, 2])
+def test_near_copies_of_one_piece(spark, crowd):
+    texts = []
+    for i in range(12):
+        t, other, share = prose(150 + 20 * i, 2000 + i), prose(400, 3000 + i).split(), 0.02 + 0.018 * i
+        words, n = t.split(), int(share * (150 + 20 * i))
+        texts += [t, " ".join(words + other[:n]), " ".join(other[100 : 100 + n] + words), " ".join(words[:-n]), " ".join(words[n:])]
+    passage = prose(60, 4000)  # one that many texts hold, with little else in some
+    texts += [passage + " " + prose(3 * i, 4100 + i) for i in range(40)]
+    docs = simhash_dedup.near_copies.with_nodes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    node = {r["doc_id"]: r["node"] for r in docs.collect()}
+    want = grouped(texts, lambda a, b: similarity(a, b) >= 0.8)
+    joined = {r["node"]: r["component"] for r in simhash_dedup.near_copies.near_links(docs, crowd, 20).collect()}
+    got = [joined.get(node[i], node[i]) for i in range(len(texts))]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 201)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

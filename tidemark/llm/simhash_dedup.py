@@ -8,10 +8,8 @@ its own distance, then added. A shard emits one link per member to a member of i
 A shard of more than `tree_limit` fingerprints is cut into slices: each slice's tree is sent to each later slice of
 that shard, so no task holds more than two slices. A tree that is sent has at most tree_limit entries of 16 bytes.
 
-Near copies by content (`keep_one`) are looked for with several fingerprints of single words, each of its own hash and
-without the shortest words, which all texts of a language share: a changed word turns few of their bits, and what one
-misses another finds. They link only if their fingerprints of five-word shingles agree in so many bits as texts of a
-similarity of 0.8 do.
+Near copies by content (`keep_one`) are linked by near_copies, which finds all pairs of a Jaccard similarity of 0.8 and
+more and tests each on the sets of five-word shingles.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other. Repeated rows
 are kept. Extra columns are dropped. Rows with a null doc_id get the class of their fingerprint like any other; the
@@ -28,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import batch, documents, materialize, partitions, slices
 from .components import components
 
@@ -37,8 +36,6 @@ TREE_LIMIT = 8192
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Of pairs whose five-word shingles have a Jaccard similarity of 0.8 and more, at most so many of 64 bits differ.
 CONFIRM_BITS = 14
-#: keep_one: hashes, radius and the least letters of a word.
-SEEDS, WORD_RADIUS, WORD_BYTES = 6, 3, 4
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -64,35 +61,11 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def word_hashes(text: str, seeds: int = SEEDS, least: int = WORD_BYTES) -> list[int]:
-    """Fingerprints of single words by several hashes; of all words if none is long enough."""
-    words = text.encode().translate(LOWER).split()
-    words = [w for w in words if len(w) >= least] or words
-    if not words:
-        return [0] * seeds
-    digest = xxhash.xxh64_intdigest
-    once = np.fromiter([digest(w, 42) for w in words], "<u8", len(words))
-    return [majority(remixed(once, i)) for i in range(seeds)]
-
-
-def remixed(x: np.ndarray, turn: int) -> np.ndarray:
-    """Another hash from a hash (the finalizer of splitmix64)."""
-    x = x + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fps (one, the 64 bits as a signed long), more (0), node (the fingerprint)."""
     return _prints(docs, lambda t: ([simhash(t, shingle)], 0)).withColumn("node", F.col("fps")[0])
 
 
-def content_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, fps (of words, by several hashes), more (of shingles), node (names both)."""
-    return _prints(docs, lambda t: (word_hashes(t), simhash(t, shingle))).withColumn("node", F.xxhash64("fps", "more"))
-
-
 def _prints(docs: DataFrame, of) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64())), ("more", pa.int64())])
     signed = lambda values: np.array(values, np.uint64).view(np.int64)
@@ -220,24 +193,28 @@ def sharded_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE_LIM
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
-    return _classes(fingerprints(docs, shingle), radius, tree_limit, 1)
+    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
+    least = prints.groupBy("node", "fps", "more").agg(F.min("doc_id").alias("least"))
+    joined = components(sharded_links(least.select("fps", "more", "node"), radius, tree_limit))
+    found = named(prints.select("doc_id", F.col("fps")[0].alias("fp"), "node"), least.select("node", "least"), joined)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def content_classes(docs: DataFrame, tree_limit: int = TREE_LIMIT) -> DataFrame:
-    return _classes(content_fingerprints(docs), WORD_RADIUS, tree_limit, SEEDS)
+def content_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row."""
+    docs = near_copies.with_nodes(docs)
+    prints = materialize(docs.select("doc_id", "node"), "near-prints")
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    return named(prints, least, near_copies.near_links(docs)).select("doc_id", "component_id")
 
 
-def _classes(prints: DataFrame, radius: int, tree_limit: int, seeds: int) -> DataFrame:
-    prints = materialize(prints, "simhash-prints")
-    least = prints.groupBy("node", "fps", "more").agg(F.min("doc_id").alias("least"))
-    joined = components(sharded_links(least.select("fps", "more", "node"), radius, tree_limit, seeds))
-    # of each component of nodes the least document
-    member = least.select("node", "least").join(joined, "node")
+def named(prints: DataFrame, least: DataFrame, joined: DataFrame) -> DataFrame:
+    """prints and component_id: of each component of nodes the least document."""
+    member = least.join(joined, "node")
     roots = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = dealt_join(member.select("node", "component"), roots, "component", "node").select("node", "component_id")
-    named = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    found = dealt_join(prints.select("doc_id", F.col("fps")[0].alias("fp"), "node"), named, "node", "doc_id")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return dealt_join(prints, names, "node", "doc_id")
 
 
 def dealt_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
@@ -250,7 +227,7 @@ def dealt_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int =
 def keep_one(docs: DataFrame, found: DataFrame | None = None, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """docs with one row of each class: the one whose doc_id is the class's least; of rows that repeat a doc_id one stays.
     Rows without a doc_id can't be named and stay, one for each text."""
-    found = content_classes(docs, tree_limit) if found is None else found
+    found = content_classes(docs) if found is None else found
     found = materialize(found.where("doc_id is not null").select("doc_id", "component_id"), "simhash-classes")
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
     out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("kept_id_"), "left_semi")
