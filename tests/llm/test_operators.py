@@ -226,6 +226,19 @@ def test_near_copies_of_one_piece(spark, crowd):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_texts_below_the_similarity_stay(spark):
+    texts = []
+    for i in range(40):
+        words, r = prose(300, 5000 + i).split(), random.Random(i)
+        texts.append(" ".join(words))
+        for at in r.sample(range(300), 16):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    assert all(0.5 < similarity(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash_dedup.keep_one(docs).count() == len(texts)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 201)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

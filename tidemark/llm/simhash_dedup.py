@@ -34,8 +34,6 @@ RADIUS = 2
 SHINGLE = 3
 TREE_LIMIT = 8192
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Of pairs whose five-word shingles have a Jaccard similarity of 0.8 and more, at most so many of 64 bits differ.
-CONFIRM_BITS = 14
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -128,11 +126,9 @@ def links(tree_rows: list[tuple], queries: list[tuple], same: bool, radius: int
         add(row)
     for row in queries:
         for at in tree.within(row[0], radius):
-            other = held[at]
-            if (other[1] ^ row[1]).bit_count() <= CONFIRM_BITS:
-                a, b = top(other[2]), top(row[2])
-                if a != b:
-                    up[max(a, b)] = min(a, b)
+            a, b = top(held[at][2]), top(row[2])
+            if a != b:
+                up[max(a, b)] = min(a, b)
         if same:
             add(row)
     return [(x, top(x)) for x in up if top(x) != x]
