@@ -431,6 +431,14 @@ def test_op1_entities():
     assert pii_surrogates._luhn(card[:-1]) == int(card[-1])
 
 
+def test_op1_secrets_of_either_case():
+    own, token = pii_surrogates.Surrogates(), "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    for e in (token, token.upper(), token[:20].upper() + token[20:]):
+        assert [(k, x) for _, _, k, x in pii_surrogates.find(f'TOKEN = "{e}"')] == [("secret", e)]
+        s = own.of("secret", e)
+        assert s != e and len(s) == len(e) and set(s) <= set(next(a for a in pii_surrogates.HEX if set(e) <= set(a)))
+
+
 def test_op1_permutations_are_one_to_one():
     own = pii_surrogates.Surrogates()
     assert sorted(own.permute(i, 1000, "t") for i in range(1000)) == list(range(1000))

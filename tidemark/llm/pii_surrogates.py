@@ -43,11 +43,11 @@ GIVEN = {name: kind for kind, names in NAMES.items() for name in names}
 #: Letters that stand for one another, by script and case.
 ALPHABETS = ["0123456789", "bcdfghjklmnpqrstvwxz", "aeiouy", "BCDFGHJKLMNPQRSTVWXZ", "AEIOUY", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñß", "ÇÑ", "бвгджзйклмнпрстфхцчшщ", "аеиоуыэюя", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "АЕИОУЭЮЯ", "βγδζθκλμνξπρστφχψ", "αεηιουω", "άέήίόύώ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "ΑΕΗΙΟΥΩ", "ΆΈΉΊΌΎΏ"]
 CLASS = {c: a for a in ALPHABETS for c in a}
-HEX = "0123456789abcdef"
+HEX = ["0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF"]
 
 EMAIL = re.compile(r"[\w.+%-]*\w@[\w-]+(?:\.[\w-]+)+")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
-SECRET = re.compile(r"\b(?:[0-9a-f]{32,128}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16})\b")
+SECRET = re.compile(r"\b(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16})\b")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<=\+)\d{6,14})(?![\w-])|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])")
@@ -148,8 +148,8 @@ class Surrogates:
         return self.known[key]
 
     def _made(self, kind: str, entity: str, tweak: str) -> str:
-        if kind == "secret" and all(c in HEX for c in entity):
-            return self.shaped(entity, tweak, HEX)
+        if kind == "secret" and (alphabet := next((a for a in HEX if all(c in a for c in entity)), None)):
+            return self.shaped(entity, tweak, alphabet)
         if kind == "email":
             name, _, host = entity.rpartition("@")
             labels = host.split(".")
