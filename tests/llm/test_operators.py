@@ -297,6 +297,22 @@ def test_op4(spark, hot):
     assert all(len(r["text"].encode()) == want[r["doc_id"]] and (not want[r["doc_id"]] or r["doc_id"] is None or r["source"] == "s") for r in cut.where("text is not null").collect() if r["doc_id"] != 63)
 
 
+def test_op4_texts_without_or_with_one_key(spark):
+    passage, texts = prose(40, 60), [prose(30 + 5 * i, 200 + i) for i in range(12)]
+    rows = [(None if i % 3 else i // 6, (t + " " + passage + " " + prose(9, 300 + i)) if i % 2 else t) for i, t in enumerate(texts)]
+    rows += [(None, texts[4]), (None, texts[4][20:]), (50, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # numbers in order of doc_id and text, as the operator orders them by digest
+    digest = {(r["doc_id"], r["text"]): r["d"] for r in docs.select("doc_id", "text", F.xxhash64("text", F.col("doc_id").isNull()).alias("d")).collect()}
+    order = sorted(digest, key=lambda k: (k[0] is None, k[0] or 0, digest[k]))
+    want = brute_repeats([(order.index(r), r[1]) for r in rows])
+    want = Counter((order[n][0], *rest) for n, *rest in want)
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == want
+    cut = suffix_dedup.cut_repeats(docs.withColumn("key", F.lit("k")))
+    assert cut.columns == ["doc_id", "text", "key"]
+    assert Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in cut.collect()) == Counter((k[0], k[-1]) for k in want.elements())
+
+
 def test_op4_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)

@@ -15,9 +15,12 @@ they are, and a run whose value occurs nowhere else holds no repeated window.
 
 Only blobs of packed arrays are shuffled between the steps; nothing of the corpus reaches the driver.
 
-Defined cases: a null or empty text has no bytes. Order is by doc_id, then start; rows that repeat a doc_id count as
-one document at that place if their texts are equal, and a null doc_id comes after all others. Extra columns are
-dropped. Empty table, empty result.
+Documents go by a key in these steps: their doc_id, or, if texts differ under one doc_id or under none, numbers in order
+of doc_id and a digest of the text.
+
+Defined cases: a null or empty text has no bytes. Order is by doc_id, then digest, then start; rows that repeat a doc_id
+(or have none) count as one document at that place if their texts are equal, else each text is a document of its own. A
+null doc_id comes after all others. Extra columns are dropped. Empty table, empty result.
 """
 
 from __future__ import annotations
@@ -281,7 +284,6 @@ def scout(batches, groups: int):
     parts, size = [], 0
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-            doc = LAST if doc is None else doc
             for at in range(0, len(text) - SPAN + 1, CHUNK):
                 piece = text[at : at + CHUNK + SPAN - 1]
                 parts.append((doc, at, piece))
@@ -331,21 +333,16 @@ def meet(batches, groups: int, shards: int, hot_runs: int):
     yield from dealt(receiver(d, groups), WANTED, [d, s, c, shard, hot.astype(np.uint8)])
 
 
-def fetch(docs: pa.Table, wants: pa.Table, doc_at: int, text_at: int):
+def fetch(docs: pa.Table, wants: pa.Table, key_at: int, text_at: int):
     """Cut the wanted runs from their documents."""
-    texts = {}
-    for doc, text in zip(docs.column(doc_at).to_pylist(), docs.column(text_at).cast(pa.binary()).to_pylist()):
-        texts.setdefault(LAST if doc is None else doc, []).append(text or b"")
+    texts = dict(zip(docs.column(key_at).to_pylist(), docs.column(text_at).cast(pa.binary()).to_pylist()))
     out, held = {}, []
     for blob in wants.column("blob").to_pylist():
         held.append(unsqueeze(blob, "<i8", "<u4", "<u4", "<u8", "u1"))
     rows = []
     for d, s, c, shard, hot in held:
         for doc, start, n, to, h in zip(d.tolist(), s.tolist(), c.tolist(), shard.tolist(), hot.tolist()):
-            for text in texts[doc]:
-                if len(run := text[start : start + n + SPAN - 1]) == n + SPAN - 1:
-                    out.setdefault(to, []).append((doc, start, h, run))
-                    break
+            out.setdefault(to, []).append((doc, start, h, texts[doc][start : start + n + SPAN - 1]))
     for to, found in out.items():
         d, s, h, runs = zip(*found)
         head = np.array(d, "<i8").tobytes() + np.array(s, "<u4").tobytes() + np.array([len(r) for r in runs], "<u4").tobytes() + bytes(h)
@@ -443,19 +440,34 @@ def spans_of(size: int, starts: np.ndarray, windows: np.ndarray) -> list[tuple[i
     return list(zip(a[head].tolist(), np.append(b[:-1][head[1:]], b[-1]).tolist()))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and the column key: one number for each doc_id and text, in order of doc_id."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    last = F.coalesce(doc, F.lit(int(LAST)))
+    names = docs.select(doc.alias("doc"), last.alias("last"), F.xxhash64(text, doc.isNull()).alias("digest"))
+    if names.groupBy("last").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
+        return docs.withColumn("key", last)
+    # ids of partitions in order, each in order
+    numbers = names.distinct().orderBy(F.col("doc").asc_nulls_last(), "digest").select(F.col("last").alias("last_"), F.col("digest").alias("digest_"), F.monotonically_increasing_id().alias("key"))
+    numbers = materialize(numbers, "suffix-keys")
+    return materialize(docs.join(numbers, (last == F.col("last_")) & (F.xxhash64(text, doc.isNull()) == F.col("digest_"))).drop("last_", "digest_"), "suffix-keyed")
+
+
 def repeated_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
-    """The documents by group (columns c0, c1, ... and to), and rows (to, kind, blob) of what each group's documents lose."""
+    """The documents by group (columns c0, c1, ..., key and to), and rows (to, kind, blob) of what each group's documents lose."""
     spark = docs.sparkSession
     n = partitions(spark)
     groups, shards = 2 * n, 16 * n
-    met = documents(docs).mapInArrow(lambda b: scout(b, groups), SPEC).repartition(n, "to").mapInArrow(lambda b: meet(b, groups, shards, hot_runs), SPEC)
+    names = docs.columns
+    docs = keyed(docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"c{i}") for i, c in enumerate(names))))
+    met = documents(docs.withColumn("doc_id", F.col("key"))).mapInArrow(lambda b: scout(b, groups), SPEC).repartition(n, "to").mapInArrow(lambda b: meet(b, groups, shards, hot_runs), SPEC)
     met = materialize(met, "suffix-runs")
     cast = {"doc_id": "long", "text": "string"}
-    columns = [(F.col(f"`{c}`").cast(cast[c]) if c in cast else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    doc_at, text_at = map(docs.columns.index, ("doc_id", "text"))
-    to = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))), F.lit(groups)).cast("long")
-    grouped = docs.select(*columns, to.alias("to")).repartition(n, "to")
-    cut = lambda a, b: fetch(a, b, doc_at, text_at)
+    columns = [F.col(c).cast(cast[c]).alias(f"c{i}") if c in cast else F.col(f"c{i}") for i, c in enumerate(names)]
+    text_at, key_at = names.index("text"), len(names)
+    to = F.pmod(F.xxhash64("key"), F.lit(groups)).cast("long")
+    grouped = docs.select(*columns, "key", to.alias("to")).repartition(n, "to")
+    cut = lambda a, b: fetch(a, b, key_at, text_at)
     texts = grouped.groupBy("to").cogroup(met.where(F.col("kind") == WANTED).groupBy("to")).applyInArrow(cut, SPEC)
     sorted_ = texts.repartition(n, "to").sortWithinPartitions("to").mapInArrow(lambda b: sort(b, groups, shards), SPEC)
     sorted_ = materialize(sorted_, "suffix-sorted")
@@ -488,8 +500,8 @@ def remove_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         gone, rows = lost(right), []
-        for doc, text in zip(left.column(0).to_pylist(), left.column(1).cast(pa.binary()).to_pylist()):
-            spans = spans_of(len(text), *gone.get(LAST if doc is None else doc, ((), ())))
+        for doc, text, key in zip(left.column(0).to_pylist(), left.column(1).cast(pa.binary()).to_pylist(), left.column(2).to_pylist()):
+            spans = spans_of(len(text), *gone.get(key, ((), ())))
             kept = kept_bytes(text, spans)
             rows.append((doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_batches([batch(arrow, list(zip(*rows)) if rows else [[]] * len(arrow))], arrow)
@@ -502,14 +514,14 @@ def cut_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     bytes that loses one goes whole. Null texts stay null; other columns and all rows are kept."""
     grouped, found = repeated_spans(docs, hot_runs)
     names = docs.columns
-    doc_at, text_at, size_at = names.index("doc_id"), names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    text_at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         gone = lost(right)
         texts = left.column(text_at).to_pylist()
         sizes = left.column(size_at).to_pylist() if size_at >= 0 else []
-        for i, doc in enumerate(left.column(doc_at).to_pylist()):
-            where = gone.get(LAST if doc is None else doc)
+        for i, key in enumerate(left.column(len(names)).to_pylist()):
+            where = gone.get(key)
             if where and texts[i]:
                 text = texts[i].encode()
                 texts[i] = kept_bytes(text, spans_of(len(text), *where)).decode("utf-8", "ignore")
@@ -519,6 +531,6 @@ def cut_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
         columns = [made.get(i, left.column(i)) for i in range(len(names))]
         return pa.Table.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    spec = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(grouped.schema.fields[:-1])])
+    spec = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(grouped.schema.fields[:-2])])
     out = grouped.groupBy("to").cogroup(found.groupBy("to")).applyInArrow(apply, spec)
     return out.select(*(F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)))
