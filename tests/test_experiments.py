@@ -214,3 +214,18 @@ def test_server(spark):
             assert ask("/api/replay", body)[0] == 400
         assert ask("/none", b"{}")[0] == 404
         s.shutdown()
+
+
+def test_suite_queries_take_the_default_grid(monkeypatch):
+    from tidemark import catalog
+    from tidemark.sources.generators import SIZES
+
+    seen = {}
+    monkeypatch.setattr(suites, "summary", lambda cells: cells)
+    monkeypatch.setattr(matrix, "summary", lambda cells: cells)
+    for module, name in ((suites, "observe"), (matrix, "observe_prefix"), (matrix, "observe_recovery")):
+        monkeypatch.setattr(module, name, lambda spark, cells: cells)
+    for n in range(1, 6):
+        seen[n] = catalog.QUERIES[f"suite_{n}_summary"](None, "")
+    assert all({cell[3] for cell in cells} == set(SIZES) for cells in seen.values())
+    assert all(cells == (suites if n < 4 else matrix).grid(n) for n, cells in seen.items())

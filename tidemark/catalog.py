@@ -444,6 +444,6 @@ def ledger_expiry_report(spark, sf_dir):
 
 
 for _suite in (1, 2, 3):
-    query(name=f"suite_{_suite}_summary")(lambda spark, sf_dir, suite=_suite: suites.summary(suites.observe(spark, suites.grid(suite, sizes=(1000,)))))
-query(name="suite_4_summary")(lambda spark, sf_dir: matrix.summary(matrix.observe_prefix(spark, matrix.grid(4, sizes=(1000,)))))
-query(name="suite_5_summary")(lambda spark, sf_dir: matrix.summary(matrix.observe_recovery(spark, matrix.grid(5, sizes=(1000,)))))
+    query(name=f"suite_{_suite}_summary")(lambda spark, sf_dir, suite=_suite: suites.summary(suites.observe(spark, suites.grid(suite))))
+query(name="suite_4_summary")(lambda spark, sf_dir: matrix.summary(matrix.observe_prefix(spark, matrix.grid(4))))
+query(name="suite_5_summary")(lambda spark, sf_dir: matrix.summary(matrix.observe_recovery(spark, matrix.grid(5))))
