@@ -425,6 +425,24 @@ def test_op10(spark):
     assert permutation_index.search(few.where("false")).count() == 0
 
 
+def test_op10_one_vector_of_a_third(spark):
+    rng = np.random.default_rng(6)
+    data = rng.standard_normal((4200, 16))
+    data[rng.permutation(4200)[:1400]] = data[0]
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in permutation_index.search(vectors).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    one, rest = [], []
+    for q in range(0, 4200, 20):
+        same = (data == data[q]).all(axis=1)
+        score = data @ data[q]
+        score[(data == data[0]).all(axis=1)] = data[0] @ data[q]
+        want = [i for i in np.lexsort((np.arange(4200), -score)).tolist() if i != q][:20]
+        (one if same.sum() > 1 else rest).append(len(set(want) & set(got[q])) / 20)
+    assert one and min(one) == 1 and np.mean(rest) >= 0.9, (np.mean(one), np.mean(rest))
+
+
 # -- 1: surrogates -------------------------------------------------------------------------------------------------------
 
 

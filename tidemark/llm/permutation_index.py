@@ -5,6 +5,9 @@ posts (vector, place of the pivot in its order). A query visits the files of its
 distance |place in query - place in vector| (a pivot missing from an order counts as just after its end), and the
 vectors with the least sums are ranked again by exact inner product in double precision.
 
+Equal vectors are one entry of the index, with their k + 1 least vec_ids (repeated up to k times): a query needs no
+more of them, its own left out. Pivots are distinct vectors, and an entry is spread into its rows after the second ranking.
+
 Inner products are turned into angles by one more dimension that gives all rows the largest norm. The index is cut
 into shards and the queries into blocks, each shard meets each block in one task, and at most k rows a query leave it.
 
@@ -79,37 +82,56 @@ def raised(rows: np.ndarray, most2: float) -> np.ndarray:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, candidates: float = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose vec_id is divisible by `every`."""
     rows = usable(vectors)
-    facts = rows.agg(F.count("*").alias("n"), F.max("norm2").alias("most2"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    # zeros of either sign are one value
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    times = rows.groupBy("v", "vec_id").agg(F.count("*").alias("times"), F.first("norm2").alias("norm2"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = times.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    each = F.array_repeat("vec_id", F.least("times", F.lit(k)).cast("int"))
+    distinct = few.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("ids"), F.first("norm2").alias("norm2"))
+    facts = distinct.agg(F.count("*").alias("n"), F.max("norm2").alias("most2")).first()
+    queries = rows.where(F.col("vec_id") % every == 0).count()
     arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     spec = "query_id long, vec_id long, score double"
     n, most2 = facts["n"], facts["most2"] or 1.0
     # a bounded sample: the rows with the least hashes
-    chosen = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).select("v").collect()
+    chosen = distinct.orderBy(F.xxhash64("v"), "v").limit(pivots).select("v").collect()
     aims = raised(np.array([r["v"] for r in chosen]), most2) if chosen else np.zeros((1, 1))
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-facts["queries"] // BLOCK_QUERIES))
+    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries // BLOCK_QUERIES))
     lay = lambda count, other: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-    index = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), lay(shards, blocks).alias("block"))
+    index = distinct.select("ids", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), lay(shards, blocks).alias("block"))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), lay(blocks, shards).alias("shard"))
 
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(table: pa.Table) -> np.ndarray:
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return table.column("vec_id").to_numpy(), flat.reshape(table.num_rows, -1) if table.num_rows else np.empty((0, 1))
+        return flat.reshape(table.num_rows, -1) if table.num_rows else np.empty((0, 1))
 
     def meet(own: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, data = matrix(own)
-        names, asks = matrix(queries)
-        out = []
-        if len(ids) and len(names):
+        data, asks = matrix(own), matrix(queries)
+        names, out = queries.column("vec_id").to_numpy(), []
+        if len(data) and len(names):
+            lists = own.column("ids").combine_chunks()
+            # each entry has one id at least
+            ids, edges = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
             files = InvertedFiles(raised(data, most2), aims, prefix)
             order = orders(np.hstack([asks / np.sqrt((asks * asks).sum(axis=1, keepdims=True)), np.zeros((len(asks), 1))]), aims, files.prefix)
-            most = max(LEAST_CANDIDATES, int(candidates * len(ids)))
+            most = max(LEAST_CANDIDATES, int(candidates * len(data)))
             for i, name in enumerate(names):
                 near = files.nearest(order[i], most)
-                near = near[ids[near] != name]
+                near = near[(ids[edges[near]] != name) | (ids[edges[near + 1] - 1] != name)]
                 score = data[near] @ asks[i]
-                by = np.lexsort((ids[near], -score))[:k]
-                out.append((np.full(len(by), name), ids[near][by], score[by]))
+                # k entries hold k rows besides the query's own; more of them if scores tie
+                if len(near) > k:
+                    some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    near, score = near[some], score[some]
+                if not len(near):
+                    continue
+                found = np.concatenate([ids[edges[x] : edges[x + 1]] for x in near])
+                score = np.repeat(score, edges[near + 1] - edges[near])
+                found, score = found[found != name], score[found != name]
+                by = np.lexsort((found, -score))[:k]
+                out.append((np.full(len(by), name), found[by], score[by]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.Table.from_batches([batch(arrow, columns)])
 
