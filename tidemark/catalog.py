@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import cdc, checks, controls, faults, ledger, state
 from .plans import compositions, lab, matrix, suites
 from .sources import generators
+from .storage import shared_dir
 from .streaming import materializer
 
 QUERIES: dict = {}
@@ -157,12 +158,13 @@ def oracle(spark, sf_dir):
 
 
 def faulted(spark, sf_dir):
-    df = faults.conflict(canonical(spark, sf_dir), oracle(spark, sf_dir), F.col("entity_id") % 5 == 0)
+    events = canonical(spark, sf_dir)
+    df = faults.conflict(events, state.latest_event_time(events), F.col("entity_id") % 5 == 0)
     return faults.duplicate(faults.null_key(faults.late(df, own(13)), own(17)), own(20))
 
 
 def before(spark, sf_dir):
-    half = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // 2
+    half = (read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 2
     return F.col("arrival_seq") <= half
 
 
@@ -176,62 +178,65 @@ ONE_FAULT = {
 for _fault, (_make, _sql) in ONE_FAULT.items():
     query(f"{FAULTED_SQL} SELECT * FROM ({_sql})", f"fault_{_fault}")(lambda spark, sf_dir, make=_make: make(canonical(spark, sf_dir), oracle(spark, sf_dir)).select(*COLUMNS, F.concat_ws("", "fault_tags").alias("tags")))
 
-ACCEPTED_SQL = "v AS (SELECT * FROM f WHERE business_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_seq) = 1)"
-REPLAY_SQL = f"""{FAULTED_SQL}, {ACCEPTED_SQL}, r AS (SELECT * FROM v WHERE {BEFORE_SQL} AND event_id % 3 = 0),
-    w AS (SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq + CASE WHEN {BEFORE_SQL} THEN 0 ELSE 200000000000000 END AS arrival_seq FROM v
-          UNION ALL SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq + 100000000000000 FROM r)"""
-SUPPRESS_SQL = f"{FAULTED_SQL}, {ACCEPTED_SQL}, r AS (SELECT * FROM v WHERE {BEFORE_SQL} AND event_id % 3 = 0), w AS (SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq FROM v)"
+#: Deliveries of two stages: v0 is committed at the checkpoint, r are its replays, v2 is new after it; ids of replays are looked up.
+STAGES_SQL = f"""{FAULTED_SQL}, v0 AS (SELECT * FROM f WHERE {BEFORE_SQL} AND business_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_seq) = 1),
+    r AS (SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq + 100000000000000 AS arrival_seq FROM v0 WHERE event_id % 3 = 0),
+    d2 AS (SELECT *, true AS replay FROM r UNION ALL SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq + 200000000000000, false FROM f WHERE NOT ({BEFORE_SQL})),
+    k2 AS (SELECT d2.*, EXISTS (SELECT 1 FROM v0 WHERE v0.event_id = d2.event_id) AS known FROM d2 WHERE business_key IS NOT NULL),
+    v2 AS (SELECT * FROM k2 WHERE NOT known QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_seq) = 1)"""
+SUPPRESS_SQL = f"{STAGES_SQL}, w AS (SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq, false AS replay FROM v0 UNION ALL SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq, replay FROM v2)"
+REPLAY_SQL = f"{STAGES_SQL}, w AS (SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq, false AS replay FROM v0 UNION ALL SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq, replay FROM v2 UNION ALL SELECT event_id, entity_id, business_key, event_ts, value, arrival_seq, replay FROM k2 WHERE replay AND known)"
 
 
-@query(f"{SUPPRESS_SQL} SELECT * FROM w")
-def recovery_replay_suppress(spark, sf_dir):
-    return compositions.valid_events(faulted(spark, sf_dir), "S4", before(spark, sf_dir), replayed()).select(*COLUMNS)
+def _run(spark, sf_dir, name):
+    return compositions.run(faulted(spark, sf_dir), name, before(spark, sf_dir), replayed())
 
 
-@query(f"{REPLAY_SQL} SELECT * FROM w")
-def recovery_replay_reprocess(spark, sf_dir):
-    return compositions.valid_events(faulted(spark, sf_dir), "S2", before(spark, sf_dir), replayed()).select(*COLUMNS)
+@query(f"{SUPPRESS_SQL} SELECT * EXCLUDE (replay) FROM w")
+def recovery_replay_suppress(spark, sf_dir):
+    return _run(spark, sf_dir, "S4").processed.select(*COLUMNS)
 
 
-def _reached(spark, sf_dir, name):
-    valid = compositions.valid_events(faulted(spark, sf_dir), name, before(spark, sf_dir), replayed())
-    return valid, compositions.state(valid, name)
+@query(f"{REPLAY_SQL} SELECT * EXCLUDE (replay) FROM w")
+def recovery_replay_reprocess(spark, sf_dir):
+    return _run(spark, sf_dir, "S2").processed.select(*COLUMNS)
 
 
-def _metrics_sql(name: str, base: str, order: str, again: str) -> str:
+def _metrics_sql(name: str, base: str, order: str) -> str:
     return f"""{base}, s AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {order}) = 1), o AS (SELECT * FROM last),
     st AS (SELECT count(*) AS oracle_entities, count(*) FILTER (s.entity_id IS NOT NULL AND s.event_id = o.event_id AND s.business_key = o.business_key AND s.event_ts = o.event_ts AND s.value = o.value) AS entities_matching_oracle FROM o LEFT JOIN s USING (entity_id)),
     n AS (SELECT c.event_id, m.n FROM c LEFT JOIN (SELECT event_id, count(*) AS n FROM w GROUP BY 1) m USING (event_id)),
     i AS (SELECT count(*) AS recovery_denominator, count(n) AS recovered_expected_count, count(*) FILTER (n IS NULL) AS false_rejection_count, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS duplicate_leakage_count FROM n),
-    x AS (SELECT (SELECT count(*) FROM w WHERE business_key IS NULL) AS invalid_key_leakage_count, (SELECT count(*) FROM r) AS replays, (SELECT count(*) FROM f WHERE tags LIKE '%duplicate%') AS dups, (SELECT count(*) FROM f WHERE tags LIKE '%null_key%') AS nulls)
+    x AS (SELECT (SELECT count(*) FROM w WHERE business_key IS NULL) AS invalid_key_leakage_count, (SELECT count(*) FROM k2 WHERE replay AND known) AS replays, (SELECT count(*) FROM w WHERE replay AND event_id IN (SELECT event_id FROM v0)) AS again, (SELECT count(*) FROM f WHERE tags LIKE '%duplicate%') AS dups, (SELECT count(*) FROM f WHERE tags LIKE '%null_key%') AS nulls)
     SELECT '{name}' AS strategy, oracle_entities, entities_matching_oracle, oracle_entities - entities_matching_oracle AS stale_state_count, duplicate_leakage_count, invalid_key_leakage_count, recovered_expected_count, recovery_denominator, false_rejection_count,
-      replays AS already_committed_replay_count, {again} AS recovery_replays_reprocessed, replays - {again} AS recovery_replays_suppressed,
+      replays AS already_committed_replay_count, again AS recovery_replays_reprocessed, replays - again AS recovery_replays_suppressed,
       round(entities_matching_oracle / greatest(oracle_entities, 1), 9) AS state_correctness_rate, round(duplicate_leakage_count / greatest(dups + replays, 1), 9) AS duplicate_leakage_rate, round(invalid_key_leakage_count / greatest(nulls, 1), 9) AS invalid_key_leakage_rate,
-      round(recovered_expected_count / greatest(recovery_denominator, 1), 9) AS recovery_completeness_rate, round(false_rejection_count / greatest(recovery_denominator, 1), 9) AS false_rejection_rate, round({again} / greatest(replays, 1), 9) AS recovery_duplicate_effect_rate
+      round(recovered_expected_count / greatest(recovery_denominator, 1), 9) AS recovery_completeness_rate, round(false_rejection_count / greatest(recovery_denominator, 1), 9) AS false_rejection_rate, round(again / greatest(replays, 1), 9) AS recovery_duplicate_effect_rate
     FROM st, i, x"""
 
 
 for _name, _spec in compositions.COMPOSITIONS.items():
     _base = SUPPRESS_SQL if _spec.idempotent else REPLAY_SQL
     _order = "event_ts DESC, arrival_seq" if _spec.temporal else "arrival_seq DESC"
-    query(f"{_base} SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {_order}) = 1", f"pipeline_{_name}_state")(lambda spark, sf_dir, name=_name: _reached(spark, sf_dir, name)[1].select(*COLUMNS))
+    query(f"{_base} SELECT * EXCLUDE (replay) FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {_order}) = 1", f"pipeline_{_name}_state")(
+        lambda spark, sf_dir, name=_name: compositions.state(_run(spark, sf_dir, name).processed, name).select(*COLUMNS)
+    )
 
     def _scored(spark, sf_dir, name=_name):
-        valid, reached = _reached(spark, sf_dir, name)
-        return compositions.metrics(valid, reached, canonical(spark, sf_dir), oracle(spark, sf_dir), faulted(spark, sf_dir), before(spark, sf_dir), replayed(), name)
+        return compositions.metrics(_run(spark, sf_dir, name), canonical(spark, sf_dir), name)
 
-    query(_metrics_sql(_name, _base, _order, "0::BIGINT" if _spec.idempotent else "replays"), f"pipeline_{_name}_metrics")(_scored)
+    query(_metrics_sql(_name, _base, _order), f"pipeline_{_name}_metrics")(_scored)
 
 
 @query(f"{SUPPRESS_SQL} SELECT event_id FROM c WHERE event_id NOT IN (SELECT event_id FROM w)")
 def metric_false_rejection(spark, sf_dir):
-    valid = compositions.valid_events(faulted(spark, sf_dir), "S4")
+    valid = compositions.accepted(faulted(spark, sf_dir))
     return canonical(spark, sf_dir).select("event_id").join(valid.select("event_id"), "event_id", "left_anti")
 
 
 @query(f"{REPLAY_SQL} SELECT event_id, count(*) - 1 AS extra FROM w WHERE event_id IN (SELECT event_id FROM c) GROUP BY 1 HAVING count(*) > 1")
 def metric_duplicate_leakage(spark, sf_dir):
-    valid = _reached(spark, sf_dir, "S2")[0]
+    valid = _run(spark, sf_dir, "S2").processed
     return valid.join(canonical(spark, sf_dir).select("event_id"), "event_id", "left_semi").groupBy("event_id").agg((F.count("*") - 1).alias("extra")).where("extra > 0")
 
 
@@ -335,7 +340,7 @@ PHASES_SQL = f"""WITH {DELIVERED_SQL}, {decided_sql('arrival')}, m AS (SELECT ma
 
 
 def _phased(spark, sf_dir):
-    m = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    m = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
     return cdc.phased(cdc.decisions(delivered(spark, sf_dir), "arrival"), TOTAL, m // 2, m * 3 // 4), m // 2
 
 
@@ -361,7 +366,7 @@ def cdc_state_diff(spark, sf_dir):
 def cdc_redelivery_idempotent(spark, sf_dir):
     """Delivering everything again, backwards, leaves the state of the version policy as it is."""
     once = delivered(spark, sf_dir)
-    end = once.agg(F.max("q")).first()[0] + 1
+    end = (once.agg(F.max("q")).first()[0] or 0) + 1
     one, two = (cdc.final_state(cdc.decisions(d, "version")) for d in (once, cdc.redelivered(once, end)))
     return one.groupBy().agg(F.count("*").alias("keys")).join(F.broadcast(state.diff(two, one).agg((F.count("*") == 0).alias("unchanged"))), F.lit(True)).select("unchanged", "keys")
 
@@ -384,8 +389,7 @@ def ledger_fifo_probe(spark, sf_dir):
 @query(f"WITH {DELIVERED_SQL} SELECT key, version, value, deleted FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, q) = 1")
 def cdc_stream_restart(spark, sf_dir):
     """The latest state, kept by a stream that stops halfway and starts again from its checkpoint."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidemark"
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = delivered(spark, sf_dir).withColumn("part", (F.col("q") % 2).cast("int")).select("key", "version", "value", "deleted", "part").withColumn("key", F.col("key").cast("long"))
     committed = -1
     for half in (0, 1):

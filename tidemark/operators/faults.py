@@ -18,21 +18,21 @@ def tagged(name: str) -> Column:
 
 
 def duplicate(df: DataFrame, rule: Column) -> DataFrame:
-    copies = df.where(rule).withColumn("fault_tags", tagged("duplicate")).withColumn("arrival_seq", F.col("arrival_seq") + COPY)
-    return df.unionByName(copies)
+    """Copies come from one reading of df."""
+    both = df.withColumn("copy_", F.explode(F.when(rule, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    made = {"fault_tags": F.when(F.col("copy_") == 1, tagged("duplicate")).otherwise(F.col("fault_tags")), "arrival_seq": F.col("arrival_seq") + F.col("copy_") * F.lit(COPY)}
+    return both.withColumns(made).drop("copy_")
 
 
 def null_key(df: DataFrame, rule: Column) -> DataFrame:
     hit = df.withColumn("hit_", F.coalesce(rule, F.lit(False)))
-    out = hit.withColumn("business_key", F.when(F.col("hit_"), F.lit(None)).otherwise(F.col("business_key"))).withColumn("fault_tags", F.when(F.col("hit_"), tagged("null_key")).otherwise(F.col("fault_tags")))
-    return out.drop("hit_")
+    return hit.withColumns({"business_key": F.when(~F.col("hit_"), F.col("business_key")), "fault_tags": F.when(F.col("hit_"), tagged("null_key")).otherwise(F.col("fault_tags"))}).drop("hit_")
 
 
 def late(df: DataFrame, rule: Column) -> DataFrame:
     """Event times stay; arrival goes to the end."""
     hit = df.withColumn("hit_", F.coalesce(rule, F.lit(False)))
-    out = hit.withColumn("arrival_seq", F.when(F.col("hit_"), F.col("arrival_seq") + LATE).otherwise(F.col("arrival_seq"))).withColumn("fault_tags", F.when(F.col("hit_"), tagged("late")).otherwise(F.col("fault_tags")))
-    return out.drop("hit_")
+    return hit.withColumns({"arrival_seq": F.when(F.col("hit_"), F.col("arrival_seq") + LATE).otherwise(F.col("arrival_seq")), "fault_tags": F.when(F.col("hit_"), tagged("late")).otherwise(F.col("fault_tags"))}).drop("hit_")
 
 
 def conflict(df: DataFrame, latest_state: DataFrame, rule: Column) -> DataFrame:
