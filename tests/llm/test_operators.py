@@ -511,3 +511,34 @@ def test_op1_collisions(spark, small):
     assert got[50] == got[3]
     made = {got[i].split()[1] for i in range(20)}
     assert len(made) == 20 and not made & {f"u{i}@x.org" for i in range(20)}
+
+
+def test_op1_shapes_without_room(spark):
+    """Every listed name, every one-letter mail and every two-letter surname of a shape occur; none stands for itself,
+    all stay apart, and a surname is one with and without a given name."""
+    mails = [f"{c}@x.org" for c in "bcdfghjklmnpqrstvwxz"]
+    names = [n for kind in pii_surrogates.NAMES.values() for n in kind]
+    title = {n: "Mr" if kind[1] == "m" else "Mrs" for kind, group in pii_surrogates.NAMES.items() for n in group}
+    surnames = [a + b for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy"]
+    texts = [f"We met {title[n]} {n}." for n in names] + [f"Mail {m} now" for m in mails] + [f"Ask Mr {x}, or Mr John {x}." for x in surnames]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii_surrogates.assigned(pii_surrogates.entities(docs), rounds=3).collect()
+    assert all(r["surrogate"] != r["entity"] for r in found)
+    assert len({(r["kind"], r["surrogate"]) for r in found}) == len(found)
+    assert {r["surrogate"] for r in found if r["kind"] != "given-m" and r["kind"] != "given-f"}.isdisjoint(r["entity"] for r in found)
+    for small in (10_000, 0):
+        got = {r["doc_id"]: r["text"] for r in pii_surrogates.replace(docs, small=small).collect()}
+        for i, n in enumerate(names):
+            other = got[i].removesuffix(".").split()[-1]
+            assert other != n and pii_surrogates.GIVEN[other] == pii_surrogates.GIVEN[n]
+        for i in range(len(names) + len(mails), len(texts)):
+            alone, _, whole = got[i].removeprefix("Ask Mr ").removesuffix(".").partition(", or Mr ")
+            assert whole.split()[1] == alone and whole.split()[0] in title
+
+
+def test_op1_very_long_texts_and_clashing_names(spark):
+    text = " ".join(f"user{i}@mail.example.com met Mr John Smith" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text, 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, pii_entities int")
+    got = {r["doc_id"]: r for r in pii_surrogates.replace(docs).collect()}
+    assert got[1]["pii_entities"] == 7 and got[1]["pii_entities_"] == 60_000 and got[2]["text"] is None and got[3]["pii_entities_"] == 0
+    assert len({w for w in got[1]["text"].split() if "@" in w}) == 30_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _salted(edges: DataFrame, mins: DataFrame, salts: int) -> DataFrame:
@@ -38,5 +38,6 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
         mins = large.groupBy("x").agg(F.min("y").alias("m"))
         small = _salted(large, mins, salts)
         small = small.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(mins.select("x", F.col("m").alias("y"))).distinct()
-        now = materialize(small, "components")
+        last, now = now, materialize(small, "components")
+        release(last)
     return now.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import batch, documents, materialize, partitions, slices
+from .common import batch, dealt_join, documents, materialize, partitions, slices
 from .components import components
 
 RADIUS = 2
@@ -213,13 +213,6 @@ def named(prints: DataFrame, least: DataFrame, joined: DataFrame) -> DataFrame:
     return dealt_join(prints, names, "node", "doc_id")
 
 
-def dealt_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
-    """rows join few on key; few has one row a key. A key that very many rows share is dealt over `salts` tasks."""
-    left = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "salt"]).drop("salt")
-
-
 def keep_one(docs: DataFrame, found: DataFrame | None = None, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """docs with one row of each class: the one whose doc_id is the class's least; of rows that repeat a doc_id one stays.
     Rows without a doc_id can't be named and stay, one for each text."""
