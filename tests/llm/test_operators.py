@@ -353,20 +353,56 @@ def test_cuts_follow_content():
 # -- 3: Merkle -----------------------------------------------------------------------------------------------------------
 
 
+def plain_audit(first, second, per_file=1024):
+    """Statuses by page_id and content, for ids of few records."""
+    body = lambda r: (r[1] or "", r[2] or "")
+    out = Counter()
+    for i in {r[0] for r in first + second}:
+        a, b = (Counter(body(r) for r in side if r[0] == i) for side in (first, second))
+        left, right = sum((a - b).values()), sum((b - a).values())
+        corrupt = 0 if i is None else min(left, right)
+        out.update({(i, "ok"): sum((a & b).values()), (i, "corrupt"): corrupt, (i, "missing"): left - corrupt, (i, "added"): right - corrupt})
+    return +out
+
+
 def test_op3(spark):
-    rows = [(i, f"http://h/{i}", "é" * (i % 7)) for i in range(3000)] + [(None, None, None), (5, "http://h/5", "second")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
-    hurt = pages.withColumn("html", F.when(F.col("page_id").isin(7, 2047, 2999), "other").otherwise(F.col("html")))
-    got = merkle_warc.audit(merkle_warc.records(pages), merkle_warc.records(hurt)).collect()
-    assert len(got) == len(rows)
-    hit = {r["page_id"] for r in got if r["status"] == "corrupt"}
-    assert {7, 2047, 2999} <= hit and all(r["status"] in ("ok", "corrupt") for r in got)
-    same = merkle_warc.audit(merkle_warc.records(pages), merkle_warc.records(pages)).groupBy("status").count().collect()
-    assert [tuple(r) for r in same] == [("ok", 3002)]
-    short = merkle_warc.audit(merkle_warc.records(pages), merkle_warc.records(pages.where("page_id < 2999")))
-    assert {tuple(r) for r in short.where("status <> 'ok'").select("page_id", "status").collect()} == {(2999, "missing"), (None, "missing")} or short.where("status = 'missing'").count() == 2
-    none = pages.where("false")
-    assert merkle_warc.audit(merkle_warc.records(none), merkle_warc.records(none)).count() == 0
+    rows = [(i, f"http://h/{i}", "é" * (i % 7)) for i in range(-40, 3000)] + [(None, None, None), (None, "u", "v"), (None, "u", "v"), (5, "http://h/5", "second"), (6, "http://h/6", "é" * 6)]
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("side", F.lit(3))
+    audit = lambda a, b: merkle_warc.audit(merkle_warc.records(frame(a)), merkle_warc.records(frame(b)))
+    changed = [(i, u, "other" if i in (7, 2047, 2999, 5) else h) for i, u, h in rows]
+    replicas = [rows, changed, [r for r in rows if r[0] != 1200], [r for r in rows if r[0] != -40 and r[0] is not None] + [(1200, "new", None), (None, "w", ""), (9000, "far", "x"), (90, rows[130][1], rows[130][2])], rows[::2], []]
+    for other in replicas:
+        got = audit(rows, other).collect()
+        assert Counter((r["page_id"], r["status"]) for r in got) == plain_audit(rows, other)
+        by_file = defaultdict(list)
+        for r in got:
+            if r["status"] != "added":
+                by_file[r["file"]].append(r)
+        for file in by_file.values():  # offsets are gapless in order
+            file.sort(key=lambda r: r["number"])
+            assert [r["number"] for r in file] == list(range(len(file))) and [r["offset"] for r in file] == np.cumsum([0, *(r["size"] for r in file)])[:-1].tolist()
+    assert Counter(r["status"] for r in audit([], rows).collect()) == {"added": len(rows)}
+    assert audit([], []).count() == 0
+
+
+def test_op3_one_page_gone_touches_one_path(spark):
+    rows = [(i, f"http://h/{i}", "x" * (i % 50)) for i in range(70_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sides = merkle_warc.records(pages).withColumn("side", F.lit(0)).unionByName(merkle_warc.records(pages.where("page_id <> 40000")).withColumn("side", F.lit(1)))
+    levels = merkle_warc.tree(merkle_warc.laid_out(sides), 0, 68)
+    assert len(levels) == 4 and [tuple(r) for r in merkle_warc.differing(levels, 0).collect()] == [(40000 // 1024, 40000 % 1024 // 32)]
+
+
+def test_op3_crowded_ids(spark, monkeypatch):
+    monkeypatch.setattr(merkle_warc, "STRETCH", 100)
+    rows = [(None, f"u{i}", "x") for i in range(300)] + [(7, f"v{i}", "y") for i in range(200)] + [(8, "same", "z")] * 450 + [(-5, "a", "b"), (9, "c", "d")]
+    other = rows[1:-3] + [(9, "c", "e"), (8, "same", "z"), (8, "same", "z"), (7, "new", "")]
+    frame = lambda rows: merkle_warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = merkle_warc.audit(frame(rows), frame(other), per_file=64).collect()
+    want = plain_audit(rows, other)
+    assert Counter((r["page_id"], r["status"]) for r in got) == want
+    assert all(r["file"] < -1 for r in got if r["page_id"] in (None, 7, 8))
+    assert len({r["file"] for r in got if r["page_id"] is None}) > 3
 
 
 # -- 8: language ---------------------------------------------------------------------------------------------------------

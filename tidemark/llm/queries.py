@@ -20,10 +20,14 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of all pages against a replica in which one page of 97 has another first character."""
+    """Audit of all pages against a replica in which one page of 97 has another first character, one of 89 is missing and
+    one of 83 stands twice."""
     pages = read(spark, sf_dir, "pages")
-    hurt = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    return merkle_warc.audit(merkle_warc.records(pages), merkle_warc.records(pages.withColumn("html", hurt)))
+    of = lambda n, r: F.col("page_id") % n == r
+    hurt = F.when(of(97, 5), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    times = F.when(of(89, 7), 0).when(of(83, 11), 2).otherwise(1)
+    replica = pages.withColumn("html", hurt).withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(2)))).where(F.col("nth") <= times)
+    return merkle_warc.audit(merkle_warc.records(pages), merkle_warc.records(replica))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +66,15 @@ ORACLE_SQL = {
             SELECT page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS file,
                    strlen(coalesce(html, '')) + strlen(coalesce(url, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR))
                    + strlen('WARC/1.0') + strlen('WARC-Type: resource') + strlen('WARC-Target-URI: ') + strlen('Content-Length: ') + 10 + 4 AS size
-            FROM pages)
-        SELECT file, row_number() OVER w - 1 AS number, CAST(sum(size) OVER w - size AS BIGINT) AS "offset", size, page_id,
-               CASE WHEN page_id % 97 = 5 THEN 'corrupt' ELSE 'ok' END AS status
-        FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)""",
+            FROM pages),
+        own AS (
+            SELECT file, row_number() OVER w - 1 AS number, CAST(sum(size) OVER w - size AS BIGINT) AS "offset", size, page_id,
+                   CASE WHEN page_id % 89 = 7 THEN 'missing' WHEN page_id % 97 = 5 THEN 'corrupt' ELSE 'ok' END AS status
+            FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)),
+        other AS (
+            SELECT file, nth, row_number() OVER w - 1 AS number, CAST(sum(size) OVER w - size AS BIGINT) AS "offset", size, page_id, 'added' AS status
+            FROM r, range(1, 3) t(nth) WHERE page_id % 89 <> 7 AND (nth = 1 OR page_id % 83 = 11) WINDOW w AS (PARTITION BY file ORDER BY page_id, nth))
+        SELECT * FROM own UNION ALL SELECT * EXCLUDE (nth) FROM other WHERE nth = 2""",
     "op10_permutation_index": None,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
