@@ -155,8 +155,8 @@ def grouped(items, linked):
     return [top(i) for i in range(len(items))]
 
 
-@pytest.mark.parametrize("limit", [8192, 8])
-def test_op9(spark, limit):
+@pytest.mark.parametrize("limit,room", [(4096, 1 << 22), (16, 0)])
+def test_op9(spark, limit, room):
     near = [LONG + (f" w{i}" if i else "") for i in range(12)] + [LONG.replace(" ", "\n", i) for i in range(3)]
     docs = table(spark, TEXTS + near)
     rows = pairs(docs)
@@ -167,27 +167,46 @@ def test_op9(spark, limit):
         if d is not None:
             least[g] = min(d, least.get(g, d))
     want = Counter((d, f"{p:016x}", least.get(g)) for (d, _), p, g in zip(rows, prints, group))
-    assert Counter(map(tuple, simhash_dedup.classes(docs, tree_limit=limit).collect())) == want
-    kept = [r["doc_id"] for r in simhash_dedup.keep_one(docs, simhash_dedup.classes(docs, tree_limit=limit)).collect()]
-    assert Counter(kept) == Counter([*set(least.values()), None])
-    wide = [r["doc_id"] for r in simhash_dedup.keep_one(docs, tree_limit=limit).collect()]
-    assert set(wide) <= {*range(len(TEXTS) + 1), None} and {3, 4, 5, 7, 9} <= set(wide) and 10 not in wide and len(wide) == len(set(wide))
+    assert Counter(map(tuple, simhash_dedup.classes(docs, tree_limit=limit, broadcast_bytes=room).collect())) == want
     assert simhash_dedup.classes(empty(spark)).count() == 0
 
 
-def test_simhash_random_links(spark):
+def test_near_copies_of_odd_rows(spark):
+    docs = table(spark, TEXTS + [LONG + f" w{i}" for i in range(8)], extra=[(200, prose(90, 12), *[None] * 12), (200, prose(90, 13), *[None] * 12), (200, prose(90, 13), *[None] * 12), (None, LONG, *[None] * 12), (None, prose(90, 14), *[None] * 12)])
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert max(got.values()) == 1 and sorted(d for d, _ in got if d is not None) == [0, 3, 4, 5, 7, 8, 9, 11, 12, 13, 14, 15, 200, 200]
+    assert {t for d, t in got if d is None} == {prose(30, 8), prose(90, 14)}
+    assert simhash_dedup.keep_one(empty(spark)).count() == 0
+
+
+def test_bk_tree_finds_all_within():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for values in (np.empty(0, np.uint64), base[:1], np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << np.uint64(i)) for i in range(64)), rng.integers(0, 1 << 63, 900, dtype=np.uint64)]))):
+        tree = simhash_dedup.BKTree.unpack(simhash_dedup.BKTree(values).pack())
+        asked = np.concatenate([values, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
+        for radius in (1, 2, 3):
+            ask, value = tree.within(asked, radius)
+            assert Counter(zip(ask.tolist(), value.tolist())) == Counter((i, v) for i, x in enumerate(asked.tolist()) for v in values.tolist() if (x ^ v).bit_count() <= radius)
+        for child, (up, edge) in enumerate(zip(tree.ups.tolist(), tree.edges.tolist())):
+            assert child == 0 or (int(tree.values[up]) ^ int(tree.values[child])).bit_count() == edge
+
+
+@pytest.mark.parametrize("limit,room", [(4096, 0), (16, 0), (16, 1 << 22)])
+def test_simhash_random_links(spark, limit, room):
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(40)]
     values = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 3))) & (2**64 - 1) for b in base for _ in range(12)})
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    for limit in (8192, 4):
-        edges = simhash_dedup.sharded_links(spark.createDataFrame([([v], 0, v) for v in signed], "fps array<long>, more long, node long"), 2, limit)
-        got = {r["node"]: r["component"] for r in components.components(edges).collect()}
-        group = grouped(signed, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 2)
-        least = {}
-        for v, g in zip(signed, group):
-            least[g] = min(v, least.get(g, v))
-        assert {v: least[g] for v, g in zip(signed, group) if group.count(g) > 1} == got
+    edges = simhash_dedup.sharded_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, limit, room)
+    got = {x["node"]: x["component"] for x in components.components(edges).collect()}
+    group = grouped(signed, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 2)
+    least = {}
+    for v, g in zip(signed, group):
+        least[g] = min(v, least.get(g, v))
+    assert {v: least[g] for v, g in zip(signed, group) if group.count(g) > 1} == got
 
 
 def test_near_copies_go_and_others_stay(spark):

@@ -21,19 +21,8 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def relieved(run):
-    """run, a function of Arrow batches, giving back the memory it freed when it ends: workers outlive tasks."""
-
-    def wrapped(batches):
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return wrapped
-
-
 def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -70,3 +59,4 @@ def slices(batches, rows: int = 512, column: str = "text", most: int = 8 << 20):
             held += n or 0
         if start < len(sizes):
             yield b.slice(start)
+    give_back()

@@ -5,9 +5,11 @@ all members (prefix filter), so pairs that meet under none of these need no look
 members that a bounded sample finds common last, then goes by hash; the sample bears on the work, never on the result.
 What can follow the first member two sets share bounds their similarity, so most pairs that meet are never listed.
 
-1. Prefixes go to tasks by member, as packed arrays. Up to `crowd` texts under one member give all their pairs; more
+1. Pairs that are likely from elsewhere (near fingerprints) are tested first, and linked texts joined to components.
+   Prefixes go to tasks by member, as packed arrays. Up to `crowd` texts under one member give all their pairs; more
    give a star and a chain, and are written down.
-2. Pairs are tested on their whole sets, once sketches that bound the difference have ruled most out, and linked texts are joined to components.
+2. Pairs of different components are tested on their whole sets, once sketches that bound the difference have ruled most
+   out, and linked texts are joined.
 3. In the crowds written down, all pairs of texts of different components that are still untested are tested, too.
 
 So each pair of 0.8 and more is linked or lies in one component already, and each link is such a pair. A component may
@@ -23,16 +25,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, documents, materialize, partitions, slices
+from .common import batch, dealt_join, documents, give_back, materialize, partitions, release, slices
 from .components import components
 from .suffix_dedup import dealt, unsqueeze
 
 SHINGLE = 5
 CROWD = 8
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: The sample: texts, the least of them that make a shingle common, and the most shingles.
 SAMPLE, COMMON, MOST_COMMON = 4000, 3, 50_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -89,6 +91,8 @@ def scout(batches, groups: int, common: np.ndarray, times: np.ndarray):
                 held, size, seen = [], 0, set()
     if held:
         yield from flush()
+        held.clear()
+    give_back()
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -103,10 +107,14 @@ def first_shared(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) ->
 
 
 def paired(a: np.ndarray, b: np.ndarray):
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    for at in range(0, len(both), 1 << 16):
-        some = both[at : at + (1 << 16)]
-        yield batch(PAIR, [some[:, 0], some[:, 1], [None] * len(some)])
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, bool)
+    a, b = a[fresh], b[fresh]
+    for at in range(0, len(a), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        yield batch(PAIR, [a[some], b[some], pa.nulls(len(a[some]), pa.int64())])
 
 
 def meet(batches, crowd: int):
@@ -144,6 +152,7 @@ def meet(batches, crowd: int):
     for i in range(0, len(at), 1 << 16):
         some = at[i : i + (1 << 16)]
         yield batch(PAIR, [node[some], (size[some].astype(np.int64) << 32) + place[some], t[some].view(np.int64)])
+    give_back()
 
 
 def across(batches):
@@ -190,6 +199,7 @@ def across(batches):
             last = columns[0][-1]
     if held:
         yield from solve()
+    give_back()
 
 
 def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -277,25 +287,40 @@ def tested(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return beside(docs, near, lambda members: members.view(np.int64)).where(9 * shared >= 4 * both).select("a", "b")
 
 
+def node_of(text) -> Column:
+    """The name of a text: equal texts have one, and texts without words."""
+    return F.when(text.rlike(r"[^ \t\n\r\x0b\f]"), F.xxhash64(text)).otherwise(0)
+
+
 def with_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, text, node: equal texts have one node, and texts without words."""
-    docs = documents(docs)
-    return docs.withColumn("node", F.when(F.col("text").rlike(r"[^ \t\n\r\x0b\f]"), F.xxhash64("text")).otherwise(0))
+    """doc_id, text, node."""
+    return documents(docs).withColumn("node", node_of(F.col("text")))
 
 
-def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE) -> DataFrame:
-    """(node, component) of the nodes of with_nodes(...) that have near copies."""
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that no component of joined (node, component) holds both of."""
+    out = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        out = dealt_join(out, joined.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side, other, "left")
+    return out.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
+def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesses: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes of with_nodes(...) that have near copies. guesses: pairs (a, b) of nodes to test first."""
     n = partitions(docs.sparkSession)
     common, times = common_shingles(docs, sample)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    links = none if guesses is None else materialize(tested(docs, materialize(guesses, "near-guesses")), "near-links")
+    joined = components(links)
     met = docs.select("text", "node").mapInArrow(lambda b: scout(b, 4 * n, common, times), SPEC)
     met = materialize(met.repartition(n, "to").mapInArrow(lambda b: meet(b, crowd), "a long, b long, token long"), "near-met")
     pairs = materialize(met.where("token is null").select("a", "b").distinct(), "near-pairs")
-    links = materialize(tested(docs, pairs), "near-links")
+    links = materialize(links.unionByName(tested(docs, materialize(apart(pairs, joined), "near-apart"))), "near-links")
     joined = components(links)
     crowds = met.where("token is not null").select("token", F.col("a").alias("node"), F.shiftright("b", 32).alias("size"), F.col("b").bitwiseAND(2**32 - 1).alias("place"))
     if crowds.isEmpty():
         return joined
-    crowds = crowds.join(joined, "node", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("part"))
+    crowds = dealt_join(crowds, joined, "node", "token", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("part"))
     more = crowds.repartition(n, "token").sortWithinPartitions("token", "size", "node").mapInArrow(across, "a long, b long, token long")
     more = materialize(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-across")
     if more.isEmpty():

@@ -1,15 +1,19 @@
 """SimHash near-duplicates with BK-trees.
 
-Equal fingerprints are folded first. Two fingerprints within r bits agree in at least two of r + 2 blocks of bits, so
-each goes to a shard for every pair of blocks (six for two bits). In a shard the fingerprints stand in a BK-tree, children keyed by
-their Hamming distance to the parent; each is searched for along only those edges whose key is within the radius of
-its own distance, then added. A shard emits one link per member to a member of its class there, never all pairs.
+Equal fingerprints are folded first. Two fingerprints within r bits agree wholly in one of r + 1 blocks of bits, so each
+goes to a shard by each block's bits; a shard takes the values of many blocks, about `TREE` fingerprints in all. Every
+shard's fingerprints stand in a BK-tree: children are keyed by their Hamming distance to the parent, and a search follows
+only edges whose key is within the radius of its own distance to the node, for many queries at once.
 
-A shard of more than `tree_limit` fingerprints is cut into slices: each slice's tree is sent to each later slice of
-that shard, so no task holds more than two slices. A tree that is sent has at most tree_limit entries of 16 bytes.
+Trees are broadcast if they hold `BROADCAST_BYTES` at most in all (measured first), and then fingerprints are looked up
+where they are. Beyond that each tree, of bounded size, is sent once to every task that looks fingerprints of its shard
+up. A block value of more than `TREE` fingerprints is parted by the bits of the other blocks in the same way, and a shard
+that is still large is cut into slices, each with a tree that all later slices search.
 
-Near copies by content (`keep_one`) are linked by near_copies, which finds all pairs of a Jaccard similarity of 0.8 and
-more and tests each on the sets of five-word shingles.
+Of what a search finds one link per fingerprint to the least of its class there goes on, never all pairs.
+
+`keep_one` drops near copies by content: five-word fingerprints near one another by these trees and what near_copies finds
+beside them are tested on the sets of five-word shingles, and linked at a Jaccard similarity of 0.8 and more.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other. Repeated rows
 are kept. Extra columns are dropped. Rows with a null doc_id get the class of their fingerprint like any other; the
@@ -18,8 +22,6 @@ least doc_id ignores nulls. Empty table, empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import batch, dealt_join, documents, materialize, partitions, slices
+from .common import batch, dealt_join, documents, give_back, materialize, slices
 from .components import components
 
 RADIUS = 2
 SHINGLE = 3
-TREE_LIMIT = 8192
+TREE = 4096
+BROADCAST_BYTES = 4 << 20
+#: Fingerprints looked up at once, and pairs held before they are folded.
+ASKED, HELD = 512, 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -59,149 +64,233 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fps (one, the 64 bits as a signed long), more (0), node (the fingerprint)."""
-    return _prints(docs, lambda t: ([simhash(t, shingle)], 0)).withColumn("node", F.col("fps")[0])
-
-
-def _prints(docs: DataFrame, of) -> DataFrame:
-    arrow = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64())), ("more", pa.int64())])
-    signed = lambda values: np.array(values, np.uint64).view(np.int64)
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """The key and fp (the 64 bits as a signed long) of every row of docs (key, text)."""
+    arrow = pa.schema([(key, pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for b in slices(batches):
-            got = [of(t) for t in b.column("text").to_pylist()]
-            yield batch(arrow, [b.column("doc_id"), [signed(fps) for fps, _ in got], signed([more for _, more in got])])
+            yield batch(arrow, [b.column(key), np.array([simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)])
+        give_back()
 
-    return documents(docs).mapInArrow(run, "doc_id long, fps array<long>, more long")
+    return docs.select(key, "text").mapInArrow(run, f"{key} long, fp long")
 
 
 class BKTree:
-    def __init__(self):
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Numbers of the entries at distance radius or less."""
-        if not self.values:
-            return []
-        found, open_ = [], [0]
-        values, children = self.values, self.children
-        while open_:
-            at = open_.pop()
-            d = (values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            low, high = d - radius, d + radius
-            open_ += [child for edge, child in children[at].items() if low <= edge <= high]
-        return found
-
-    def add(self, value: int) -> int:
-        new = len(self.values)
-        self.values.append(value)
-        self.children.append({})
-        if new:
-            at = 0
-            while (nxt := self.children[at].get(d := (self.values[at] ^ value).bit_count())) is not None:
-                at = nxt
-            self.children[at][d] = new
-        return new
-
-
-def links(tree_rows: list[tuple], queries: list[tuple], same: bool, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (node, least node of its class) for the classes of (fp, more, node) rows within the radius; same: the queries
-    are the tree's own rows."""
-    tree, held, up = BKTree(), [], {}
-
-    def top(x):
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
-        return x
-
-    def add(row):
-        tree.add(row[0])
-        held.append(row)
-
-    for row in [] if same else tree_rows:
-        add(row)
-    for row in queries:
-        for at in tree.within(row[0], radius):
-            a, b = top(held[at][2]), top(row[2])
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        if same:
-            add(row)
-    return [(x, top(x)) for x in up if top(x) != x]
-
-
-def block_keys(fp, radius: int, seed: int) -> list:
-    """For every two of radius + 2 blocks of a fingerprint: a number that tells hash and blocks and holds their bits."""
-    blocks = radius + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    return [F.lit((seed * 64 + n) * (1 << 48)) + part[i] * (1 << (edges[j + 1] - edges[j])) + part[j] for n, (i, j) in enumerate(combinations(range(blocks), 2))]
-
-
-def sharded_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE_LIMIT, seeds: int = 1) -> DataFrame:
-    """(a, b): links of nodes. prints: distinct fps, more, node."""
+    """A BK-tree of distinct 64-bit values, grown and searched a level at a time. A node's children have consecutive
+    numbers in order of their edges."""
+
+    def __init__(self, values: np.ndarray):
+        todo, group = np.arange(len(values)), np.zeros(len(values), np.int64)
+        items, edges, ups, n = [], [], [], 0
+        up, edge = np.full(1, -1), np.zeros(1, np.uint8)
+        while len(todo):
+            head = np.append(True, group[1:] != group[:-1])
+            items.append(todo[head])
+            edges.append(edge)
+            ups.append(up)
+            own = np.cumsum(head) - 1 + n  # the node each member belongs under
+            n += len(items[-1])
+            rest = ~head
+            far = np.bitwise_count(values[todo[rest]] ^ values[items[-1][own[rest] - n + len(items[-1])]])
+            key = own[rest] * 65 + far
+            by = np.argsort(key, kind="stable")
+            todo, group = todo[rest][by], key[by]
+            first = np.append(True, group[1:] != group[:-1])[: len(group)]
+            up, edge = group[first] // 65, (group[first] % 65).astype(np.uint8)
+        self._set(values[np.concatenate(items)] if items else values, np.concatenate(ups).astype(np.int32) if ups else np.empty(0, np.int32), np.concatenate(edges) if edges else np.empty(0, np.uint8))
+
+    def _set(self, values, ups, edges):
+        self.values, self.ups, self.edges = values, ups, edges
+        self.child = np.full((len(values), 65), -1, np.int32)
+        self.child[ups[1:], edges[1:]] = np.arange(1, len(values), dtype=np.int32)
+
+    def pack(self) -> bytes:
+        return self.values.astype("<u8").tobytes() + self.ups.astype("<i4").tobytes() + self.edges.tobytes()
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> BKTree:
+        n, tree = len(blob) // 13, cls.__new__(cls)
+        tree._set(np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<i4", n, 8 * n), np.frombuffer(blob, "u1", n, 12 * n))
+        return tree
+
+    def within(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in asked, value of the tree) of the pairs at distance radius or less."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        ask = np.arange(len(asked) if len(self.values) else 0)
+        at = np.zeros(len(ask), np.int32)
+        while len(ask):
+            far = np.bitwise_count(self.values[at] ^ asked[ask]).astype(np.int64)
+            hit = far <= radius
+            found.append((ask[hit], self.values[at[hit]]))
+            asks, nodes = [], []
+            for shift in range(-radius, radius + 1):
+                edge = far + shift
+                child = self.child[at, np.clip(edge, 0, 64)]
+                on = (child >= 0) & (edge >= 1) & (edge <= 64)
+                asks.append(ask[on])
+                nodes.append(child[on])
+            ask, at = np.concatenate(asks), np.concatenate(nodes)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as links of each member to the least of its class."""
+    names, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = places[: len(a)], places[len(a) :]
+    top = np.arange(len(names))
+    while True:
+        x, y = top[left], top[right]
+        if (x == y).all():
+            break
+        least = np.minimum(x, y)
+        np.minimum.at(top, x, least)
+        np.minimum.at(top, y, least)
+        while (top[top] != top).any():
+            top = top[top]
+    up = np.flatnonzero(top != np.arange(len(names)))
+    return names[up], names[top[up]]
+
+
+class Links:
+    """What searches find, folded whenever much is held. direct: each fingerprint with the least near it, instead."""
+
+    def __init__(self, radius: int, direct: bool):
+        self.radius, self.direct, self.a, self.b, self.size = radius, direct, [], [], 0
+
+    def search(self, tree: BKTree, asked: np.ndarray) -> None:
+        for at in range(0, len(asked), ASKED):
+            some = asked[at : at + ASKED]
+            ask, value = tree.within(some, self.radius)
+            a, b = some[ask].view(np.int64), value.view(np.int64)
+            other = a != b
+            a, b = a[other], b[other]
+            if self.direct and len(a):
+                by = np.lexsort((b, a))
+                first = np.append(True, a[by][1:] != a[by][:-1])
+                a, b = a[by][first], b[by][first]
+            self.a.append(a)
+            self.b.append(b)
+            self.size += len(a)
+            if self.size > HELD:
+                self.fold()
+
+    def fold(self) -> None:
+        a, b = np.concatenate(self.a), np.concatenate(self.b)
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if self.direct else folded(a, b)
+        self.a, self.b, self.size = [a], [b], 0
+
+    def batches(self, schema: pa.Schema):
+        if self.a:
+            self.fold()
+            for at in range(0, len(self.a[0]), 1 << 16):
+                yield batch(schema, [self.a[0][at : at + (1 << 16)], self.b[0][at : at + (1 << 16)]])
+
+
+def blocks_of(fp, bits: int, count: int) -> list:
+    """The bits of `count` blocks of the lowest `bits` of fp."""
+    edges = [bits * i // count for i in range(count + 1)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+
+
+def routed(prints: DataFrame, radius: int, limit: int) -> DataFrame:
+    """fp, shard: a row for each block of each fingerprint."""
+    fp = F.col("fp")
+    parts = [F.struct(F.lit(i).alias("block"), x.alias("bits")) for i, x in enumerate(blocks_of(fp, 64, radius + 1))]
+    rows = prints.select("fp", F.explode(F.array(*parts)).alias("key"))
+    shards = F.lit(max(1, -(-prints.count() * (radius + 1) // limit)))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > limit)
+    sizes = materialize(sizes, "simhash-crowded")
+    shard = lambda *key: F.pmod(F.xxhash64(*key), shards)
+    if sizes.isEmpty():
+        return rows.select("fp", shard("key").alias("shard"))
+    met = dealt_join(rows, sizes, "key", "fp", "left")
+    # the other blocks' bits, side by side, hold all differences of two that share this block
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    low = lambda n: F.lit((1 << n) - 1)
+    rest = F.lit(0).cast("long")
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        above = F.shiftleft(F.shiftrightunsigned(fp, b), a) if b < 64 else F.lit(0).cast("long")
+        rest = F.when(F.col("key.block") == i, above.bitwiseOR(fp.bitwiseAND(low(a)))).otherwise(rest)
+    inner = [F.struct(F.lit(i).alias("block"), x.alias("bits")) for i, x in enumerate(blocks_of(F.col("rest"), 64 - 64 // (radius + 1), radius + 1))]
+    few = met.where("size is null").select("fp", shard("key").alias("shard"))
+    many = met.where("size is not null").select("fp", "key", rest.alias("rest")).select("fp", "key", F.explode(F.array(*inner)).alias("inner"))
+    return few.unionByName(many.select("fp", shard("key", "inner").alias("shard")))
+
+
+def sharded_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE, broadcast_bytes: int = BROADCAST_BYTES, direct: bool = False) -> DataFrame:
+    """(a, b): links of the distinct fingerprints in prints (fp), folded by class within a shard; direct: pairs within the
+    radius instead, one for each fingerprint and shard."""
     spark = prints.sparkSession
     if not 1 <= radius <= 6:
         raise ValueError("blocks serve a radius of 1 to 6")
-    row = ["fp", "more", "node"]
-    keys = [k for i in range(seeds) for k in block_keys(F.col("fps")[i], radius, i)]
-    # most keys are of one document: only names are dealt until those are gone
-    routed = prints.select("node", F.explode(F.array(*keys)).alias("key"))
-    sizes = routed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    seed = F.shiftright("key", 54).cast("int")
-    routed = routed.join(sizes, "key").join(prints, "node").select(F.element_at("fps", seed + 1).alias("fp"), "more", "node", "key", "size")
-    routed = materialize(routed, "simhash-shards")
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    unsign = (1 << 64) - 1
-
-    def run(batches):
-        """Rows come sorted by shard; role 0 is the tree, 1 a query against it, 2 both."""
-        key, tree, queries = None, [], []
-        found: list[tuple[int, int]] = []
-        for b in batches:
-            for k, role, *values in zip(*(b.column(c).to_pylist() for c in ("shard", "role", *row))):
-                if k != key:
-                    found += links(tree, queries, not tree, radius)
-                    key, tree, queries = k, [], []
-                (queries if role else tree).append((values[0] & unsign, values[1] & unsign, values[2]))
-            if len(found) > 10_000:
-                yield batch(arrow, list(zip(*found)))
-                found = []
-        found += links(tree, queries, not tree, radius)
-        if found:
-            yield batch(arrow, list(zip(*found)))
-
-    n = partitions(spark)
-    even = routed.where(F.col("size") <= limit).select(F.col("key").alias("shard"), F.lit(2).alias("role"), *row)
-    found = even.repartition(n, "shard").sortWithinPartitions("shard", "role").mapInArrow(run, "a long, b long")
-    hot = routed.where(F.col("size") > limit).withColumn("m", F.ceil(F.col("size") * 2 / limit)).withColumn("slice", F.pmod(F.xxhash64("node", "key"), F.col("m")))
-    name = lambda i, j: F.xxhash64("key", i, j).alias("shard")
-    own = hot.select(name("slice", "slice"), F.lit(2).alias("role"), *row)
-    trees = hot.where("slice < m - 1").select("key", "slice", *row, F.explode(F.sequence(F.col("slice") + 1, F.col("m") - 1)).alias("to")).select(name("slice", "to"), F.lit(0).alias("role"), *row)
-    asks = hot.where("slice > 0").select("key", "slice", *row, F.explode(F.sequence(F.lit(0).cast("long"), F.col("slice") - 1)).alias("of")).select(name("of", "slice"), F.lit(1).alias("role"), *row)
-    cut = own.unionByName(trees).unionByName(asks).repartition(n, "shard").sortWithinPartitions("shard", "role").mapInArrow(run, "a long, b long")
-    return found.unionByName(cut)
-
-
-def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree_limit: int = TREE_LIMIT) -> DataFrame:
+    rows = materialize(routed(prints, radius, limit).distinct(), "simhash-routed")
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / (2 * limit)).cast("int").alias("slices"))
+    rows = materialize(dealt_join(rows, sizes, "shard", "fp").select("fp", "shard", "slices", F.pmod(F.xxhash64("fp", "shard"), F.col("slices")).cast("int").alias("slice")), "simhash-shards")
+    arrow, spec = pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long"
+    trees_of = pa.schema([("shard", pa.int64()), ("slice", pa.int32()), ("slices", pa.int32()), ("tree", pa.binary())])
+
+    def grow(table: pa.Table) -> pa.Table:
+        tree = BKTree(np.sort(table.column("fp").to_numpy().view(np.uint64)))
+        return pa.Table.from_batches([batch(trees_of, [[table.column(c)[0].as_py()] for c in ("shard", "slice", "slices")] + [[tree.pack()]])])
+
+    trees = materialize(rows.groupBy("shard", "slice").applyInArrow(grow, "shard long, slice int, slices int, tree binary"), "simhash-trees")
+    total = trees.agg(F.coalesce(F.sum(F.length("tree")), F.lit(0))).first()[0]
+    if total <= broadcast_bytes:
+        sent: dict[int, list[bytes]] = {}
+        for r in trees.collect():
+            sent.setdefault(r["shard"], []).append(r["tree"])
+        forest = spark.sparkContext.broadcast(sent)
+
+        def look_up(batches):
+            found, grown = Links(radius, direct), {}
+            for b in batches:
+                fp, shard = b.column("fp").to_numpy().view(np.uint64), b.column("shard").to_numpy()
+                for name in np.unique(shard).tolist():
+                    if name not in grown:
+                        if len(grown) > 64:
+                            grown.clear()
+                        grown[name] = [BKTree.unpack(t) for t in forest.value[name]]
+                    for tree in grown[name]:
+                        found.search(tree, fp[shard == name])
+            yield from found.batches(arrow)
+            give_back()
+
+        return rows.select("fp", "shard").mapInArrow(look_up, spec)
+
+    def meet(tree: pa.Table, asked: pa.Table) -> pa.Table:
+        found = Links(radius, direct)
+        for blob in tree.column("tree").to_pylist():
+            found.search(BKTree.unpack(blob), asked.column("fp").to_numpy().view(np.uint64))
+        return pa.Table.from_batches(list(found.batches(arrow)), arrow)
+
+    ask = rows.select("fp", "shard", F.col("slice").alias("by"), F.explode(F.sequence(F.lit(0), "slice")).alias("of"))
+    own = trees.select("shard", "tree", F.col("slice").alias("of"), F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("by"))
+    key = ["shard", "of", "by"]
+    return own.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(lambda t, a: meet(t, a), spec)
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree_limit: int = TREE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
-    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
-    least = prints.groupBy("node", "fps", "more").agg(F.min("doc_id").alias("least"))
-    joined = components(sharded_links(least.select("fps", "more", "node"), radius, tree_limit))
-    found = named(prints.select("doc_id", F.col("fps")[0].alias("fp"), "node"), least.select("node", "least"), joined)
+    prints = materialize(fingerprints(documents(docs), shingle).withColumn("node", F.col("fp")), "simhash-prints")
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    joined = components(sharded_links(prints.select("fp").distinct(), radius, tree_limit, broadcast_bytes))
+    found = named(prints, least, joined)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def content_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id of every row."""
-    docs = near_copies.with_nodes(docs)
-    prints = materialize(docs.select("doc_id", "node"), "near-prints")
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
-    return named(prints, least, near_copies.near_links(docs)).select("doc_id", "component_id")
+def near_prints(docs: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of docs (text, node) whose five-word fingerprints are equal or near, at most a few a node."""
+    prints = materialize(fingerprints(docs, near_copies.SHINGLE, "node").distinct(), "near-prints")
+    first = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = dealt_join(prints, first, "fp", "node").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = sharded_links(first.select("fp"), direct=True)
+    for side in "ab":
+        links = links.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"node_{side}")), side)
+    near = links.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return equal.unionByName(near).distinct()
 
 
 def named(prints: DataFrame, least: DataFrame, joined: DataFrame) -> DataFrame:
@@ -213,13 +302,20 @@ def named(prints: DataFrame, least: DataFrame, joined: DataFrame) -> DataFrame:
     return dealt_join(prints, names, "node", "doc_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame | None = None, tree_limit: int = TREE_LIMIT) -> DataFrame:
-    """docs with one row of each class: the one whose doc_id is the class's least; of rows that repeat a doc_id one stays.
-    Rows without a doc_id can't be named and stay, one for each text."""
-    found = content_classes(docs) if found is None else found
-    found = materialize(found.where("doc_id is not null").select("doc_id", "component_id"), "simhash-classes")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("kept_id_"), "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of near copies: the one with the least doc_id (none: last), then the least digest
+    of its text. All columns are kept. Texts that differ under one doc_id are documents of their own; rows that repeat
+    both count once. Null and empty texts, and those without words, are one class. Empty table, empty result."""
+    named_docs = near_copies.with_nodes(docs)
+    rows = materialize(named_docs.groupBy("doc_id", "node").agg(F.count("*").alias("times")), "near-nodes")
+    joined = near_copies.near_links(named_docs, guesses=near_prints(named_docs))
+    parts = dealt_join(rows, joined, "node", "doc_id", "left").select("doc_id", "node", "times", F.coalesce("component", "node").alias("part"))
+    first = parts.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "times")).alias("first"))
+    kept = materialize(first.select(F.col("first.doc_id").alias("kept_id_"), F.col("first.node").alias("kept_node_"), F.col("first.times").alias("kept_times_")), "near-kept")
+    node = near_copies.node_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")) & (node == F.col("kept_node_"))
+    out = docs.join(kept.hint("shuffle_hash"), mine, "left_semi")
+    if kept.where("kept_times_ > 1").isEmpty():
+        return out
+    marked = out.withColumn("kept_node_", node)
+    return marked.dropDuplicates(["doc_id", "kept_node_"]).select(*docs.columns)
