@@ -65,6 +65,28 @@ def test_tree_and_byte_level_match_the_library():
         assert np.frombuffer(bpe_tree.TreeEncoder(WORD, 16).encode(long), "<u4").tolist() == words.encode(long, add_special_tokens=False).ids
 
 
+def test_tree_joins_encode_little_again():
+    r = random.Random(6)
+    words = Tokenizer.from_file(WORD)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))
+    signs = "".join(r.choice(["日本語", "です。", "it's", "!!", "e\u0301", "42", "<|endoftext|>", "Über", "x" * 40, "'re", "　"]) for _ in range(60_000))
+    for text, share in ((letters, 0.01), (signs, 0.05), ("the " + letters[:50_000] + " end " + signs[:50_000] + "'", 0.05)):
+        tree = bpe_tree.TreeEncoder(WORD)
+        assert np.frombuffer(tree.encode(text), "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
+        assert tree.joined_chars < share * len(text), tree.joined_chars / len(text)
+
+
+def test_tree_joins_of_odd_seams():
+    r = random.Random(7)
+    words = Tokenizer.from_file(WORD)
+    odd = ["'", "'r", "e", "l", "'l", "ll", "s", "ab", "abc", "abcd" * 6, "!", "'s", "e", "\u0301", "İ", "Σ", "1", "<|end", "oftext|>", "<|endoftext|>", "日", "　", "\x85", " ", "ﬁ", "가", "\u1100", "\u1161"]
+    for leaf in (4, 5, 8, 16):
+        tree = bpe_tree.TreeEncoder(WORD, leaf)
+        for _ in range(1500):
+            t = "".join(r.choice(odd) for _ in range(r.randint(1, 30)))
+            assert np.frombuffer(tree.encode(t), "<u4").tolist() == words.encode(t, add_special_tokens=False).ids, (leaf, t)
+
+
 @pytest.mark.parametrize("segment", [1 << 16, 700])
 def test_op2(spark, segment):
     docs = table(spark)
