@@ -6,8 +6,10 @@ Digests of all chunks are joined to find each chunk's owner (the first place it
 store. A medium is the ordered list of its digests; media with equal lists are rebuilt once, from the store, each chunk
 and the whole checked against their digests, and read back.
 
-Bytes move once by digest, and once more only for media of several chunks. Chunk bytes are compressed in the worker.
-A chunk that more than `hot` distinct lists name is copied to several tasks that share its lists.
+Documents are read twice: for their lists, written once, and for the bytes. Bytes move once by digest, and once more only
+for media of several chunks. Chunk bytes are compressed in the worker. A chunk that more than `hot` distinct lists name is
+copied to several tasks that share its lists; one that occurs in very many places, and a list of very many rows, are
+dealt over several tasks.
 
 Defined cases: a null or empty text is a payload of 576 bytes of value 255. Repeated rows give repeated results; equal
 texts give equal values. Extra columns are dropped. Empty table, empty result.
@@ -24,12 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, documents, slices
+from .common import batch, dealt_join, documents, give_back, materialize, slices
 
 UNIT = 576
 WIDTH = 24
 LEAST, MASK_BITS, MOST = 4096, 13, 65536
 HOT = 1000
+#: A chunk that occurs more often than this is looked up by several tasks.
+COMMON = 100_000
 GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
 PARTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
 
@@ -118,19 +122,26 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "digest binary, src long, seq int, bytes binary")
 
 
-def store_and_rebuild(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    listed = lists(docs)
+def store_and_rebuild(docs: DataFrame, hot: int = HOT, common: int = COMMON) -> DataFrame:
+    listed = materialize(lists(docs), "media-lists")
     place = F.coalesce("doc_id", F.lit(-(2**63)))
     uses = listed.select(place.alias("src"), F.posexplode("digests").alias("seq", "digest"))
-    owners = uses.groupBy("digest").agg(F.min(F.struct("src", "seq")).alias("own"))
+    owners = uses.groupBy("digest").agg(F.min(F.struct("src", "seq")).alias("own"), F.count("*").alias("uses"))
     media = listed.groupBy("list").agg(F.min("n_bytes").alias("n_bytes"), F.min("digests").alias("digests"))
     named = media.select("list", "n_bytes", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("at", "digest"))
     named_by = named.groupBy("digest").agg(F.count("*").alias("lists"))
     light = owners.join(named_by, "digest")
     # the store: one row of bytes for each digest, found by a join of digests
     # (compared by order, as equality would become a key of the join and part it from the next one's)
-    rows = chunk_rows(docs)
-    store = rows.join(light.hint("shuffle_hash"), "digest").where(F.struct("src", "seq") <= F.col("own")).select("digest", "bytes", "lists")
+    rows, keys = chunk_rows(docs), ["digest"]
+    often = owners.where(F.col("uses") > common).select("digest")
+    if not often.isEmpty():  # at most one digest of `common` places
+        often = materialize(often, "media-common").select("digest", F.lit(True).alias("often"))
+        few = F.broadcast(often) if often.count() < 100_000 else often
+        rows = rows.join(few, "digest", "left").withColumn("part", F.when(F.col("often"), F.pmod(F.xxhash64("src"), F.lit(64))).otherwise(0).cast("int")).drop("often")
+        light = light.withColumn("part", F.explode(F.when(F.col("uses") > common, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
+        keys = ["digest", "part"]
+    store = rows.join(light.hint("shuffle_hash"), keys).where(F.struct("src", "seq") <= F.col("own")).select("digest", "bytes", "lists")
     few = store.where(F.col("lists") <= hot)
     asked = named.join(named_by, "digest")
     plain = few.join(asked.where(F.col("lists") <= hot).drop("lists").hint("shuffle_hash"), "digest")
@@ -165,5 +176,5 @@ def store_and_rebuild(docs: DataFrame, hot: int = HOT) -> DataFrame:
     one = pieces.where("n_chunks = 1").mapInArrow(whole, spec)
     many = pieces.where("n_chunks > 1").groupBy("list").applyInArrow(gathered, spec)
     built = one.unionByName(many).dropDuplicates(["list"])
-    # a list that very many rows share is split by the adaptive skew join; nothing above needs its rows together
-    return listed.select("doc_id", "list").join(built, "list").select("doc_id", *(f.split()[0] for f in PARTS.split(", ")))
+    columns = ["doc_id", *(f.split()[0] for f in PARTS.split(", "))]
+    return dealt_join(listed.select("doc_id", "list"), built, "list", "doc_id").select(*columns)
