@@ -368,11 +368,11 @@ def test_op4_chunks(spark, monkeypatch):
 # -- 5: media ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_op5(spark, hot):
+@pytest.mark.parametrize("hot,common", [(1000, 100_000), (1, 1)])
+def test_op5(spark, hot, common):
     long = prose(12000, 77)
     docs = table(spark, [*TEXTS, long, long + "!", "head " + long])
-    got = media_chunks.store_and_rebuild(docs, hot).collect()
+    got = media_chunks.store_and_rebuild(docs, hot, common).collect()
     want = Counter()
     for d, t in pairs(docs):
         data = t.encode()
@@ -520,6 +520,24 @@ def test_op10_one_vector_of_a_third(spark):
     assert one and min(one) == 1 and np.mean(rest) >= 0.9, (np.mean(one), np.mean(rest))
 
 
+def test_op10_equal_and_extreme_vectors(spark):
+    rows = [(i, [0.1 * (j % 7) + 0.01 for j in range(128)]) for i in range(3000)]
+    got = defaultdict(list)
+    for r in permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, 3000, 20):
+        assert [v for v, _ in got[q]] == [i for i in range(22) if i != q][:20] and len({s for _, s in got[q]}) == 1
+    rng = np.random.default_rng(8)
+    data = rng.standard_normal((60, 8)) * 1e153
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(100, [1e-200] * 8), (120, [5e-324] + [0.0] * 7)]
+    got = defaultdict(list)
+    for r in permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in (0, 20, 40):
+        assert got[q] == sorted((i for i, _ in rows if i != q), key=lambda i: (-float(np.sum(data[q] * np.array(dict(rows)[i]))), i))[:20]
+    assert len(got[100]) == len(got[120]) == 20
+
+
 # -- 1: surrogates -------------------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ Inner products are turned into angles by one more dimension that gives all rows
 into shards and the queries into blocks, each shard meets each block in one task, and at most k rows a query leave it.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold a null or non-finite component
-take no part. Rows that repeat a vec_id are candidates like any other, but a query never finds its own vec_id; queries
+take no part. Components may have any size that a double holds, as directions are scaled first. Rows that repeat a vec_id are candidates like any other, but a query never finds its own vec_id; queries
 that repeat one count once, with the least vector. Extra columns are dropped. Empty table, empty result.
 """
 
@@ -34,11 +34,11 @@ LEAST_CANDIDATES = 1000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of double), norm2 of the rows that take part."""
+    """vec_id, v (array of double) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).where("norm2 > 0")
+    rows = rows.where(F.exists("v", lambda x: x != 0))
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     return rows.where(F.size("v") == (width["w"] if width else 0))
 
@@ -74,7 +74,7 @@ def orders(rows: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def raised(rows: np.ndarray, most2: float) -> np.ndarray:
-    """Rows with one more component, all of the largest norm then, at unit length."""
+    """Rows (scaled so that none has a component over 1) with one more component, all of the largest norm then, at unit length."""
     rest = np.sqrt(np.maximum(0.0, most2 - (rows * rows).sum(axis=1)))
     return np.hstack([rows, rest[:, None]]) / np.sqrt(most2)
 
@@ -84,19 +84,21 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
     rows = usable(vectors)
     # zeros of either sign are one value
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    times = rows.groupBy("v", "vec_id").agg(F.count("*").alias("times"), F.first("norm2").alias("norm2"))
+    times = rows.groupBy("v", "vec_id").agg(F.count("*").alias("times"))
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = times.withColumn("nth", nth).where(F.col("nth") <= k + 1)
     each = F.array_repeat("vec_id", F.least("times", F.lit(k)).cast("int"))
-    distinct = few.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("ids"), F.first("norm2").alias("norm2"))
-    facts = distinct.agg(F.count("*").alias("n"), F.max("norm2").alias("most2")).first()
+    distinct = few.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("ids"))
+    top = distinct.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))
+    facts = distinct.agg(F.count("*").alias("n"), F.max(norm2).alias("most2")).first()
     queries = rows.where(F.col("vec_id") % every == 0).count()
     arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     spec = "query_id long, vec_id long, score double"
     n, most2 = facts["n"], facts["most2"] or 1.0
     # a bounded sample: the rows with the least hashes
     chosen = distinct.orderBy(F.xxhash64("v"), "v").limit(pivots).select("v").collect()
-    aims = raised(np.array([r["v"] for r in chosen]), most2) if chosen else np.zeros((1, 1))
+    aims = raised(np.array([r["v"] for r in chosen]) / top, most2) if chosen else np.zeros((1, 1))
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries // BLOCK_QUERIES))
     lay = lambda count, other: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
     index = distinct.select("ids", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), lay(shards, blocks).alias("block"))
@@ -114,13 +116,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
             lists = own.column("ids").combine_chunks()
             # each entry has one id at least
             ids, edges = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-            files = InvertedFiles(raised(data, most2), aims, prefix)
-            order = orders(np.hstack([asks / np.sqrt((asks * asks).sum(axis=1, keepdims=True)), np.zeros((len(asks), 1))]), aims, files.prefix)
+            files = InvertedFiles(raised(data / top, most2), aims, prefix)
+            near = asks / np.abs(asks).max(axis=1, keepdims=True)
+            order = orders(np.hstack([near / np.sqrt((near * near).sum(axis=1, keepdims=True)), np.zeros((len(asks), 1))]), aims, files.prefix)
             most = max(LEAST_CANDIDATES, int(candidates * len(data)))
             for i, name in enumerate(names):
                 near = files.nearest(order[i], most)
                 near = near[(ids[edges[near]] != name) | (ids[edges[near + 1] - 1] != name)]
-                score = data[near] @ asks[i]
+                # summed in one order for all rows, unlike a matrix product
+                score = (data[near] * asks[i]).sum(axis=1)
                 # k entries hold k rows besides the query's own; more of them if scores tie
                 if len(near) > k:
                     some = score >= np.partition(score, len(score) - k)[len(score) - k]
