@@ -39,6 +39,21 @@ def dealt_join(rows: DataFrame, few: DataFrame, key: str, by, how: str = "inner"
     return left.join(right, [key, "join_salt_"], how).drop("join_salt_")
 
 
+def skewed_join(rows: DataFrame, few: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """rows join few on key; few has one row a key. Only keys that over 1,000 and over a 10,000th of the rows share are
+    dealt over `salts` tasks; they are fewer than 10,000, so their names are broadcast."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = materialize(counts.where(F.col("n") > max(1000, total // 10_000)).select(key, F.lit(True).alias("join_hot_")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(few, key)
+    on = F.coalesce("join_hot_", F.lit(False))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("join_salt_", F.when(on, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int")).drop("join_hot_")
+    each = F.explode(F.when(on, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    right = few.join(F.broadcast(hot), key, "left").withColumn("join_salt_", each).drop("join_hot_")
+    return left.join(right, [key, "join_salt_"]).drop("join_salt_")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, dealt_join, documents, give_back, materialize, slices
+from .common import batch, documents, materialize, skewed_join, slices
 
 UNIT = 576
 WIDTH = 24
@@ -177,4 +177,4 @@ def store_and_rebuild(docs: DataFrame, hot: int = HOT, common: int = COMMON) ->
     many = pieces.where("n_chunks > 1").groupBy("list").applyInArrow(gathered, spec)
     built = one.unionByName(many).dropDuplicates(["list"])
     columns = ["doc_id", *(f.split()[0] for f in PARTS.split(", "))]
-    return dealt_join(listed.select("doc_id", "list"), built, "list", "doc_id").select(*columns)
+    return skewed_join(listed.select("doc_id", "list"), built, "list", "doc_id").select(*columns)
