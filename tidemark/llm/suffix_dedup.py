@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import batch, documents, materialize, partitions
+from .common import batch, documents, give_back, materialize, partitions
 
 SPAN = 100
 GRAM = 32
@@ -292,12 +292,14 @@ def scout(batches, groups: int):
                     take(parts)
                     held += size
                     parts, size = [], 0
-                    if held >= 16 * CHUNK:
+                    if held >= 8 * CHUNK:
                         yield from flush()
                         held = 0
     if parts:
         take(parts)
     yield from flush()
+    parts.clear()
+    give_back()
 
 
 def meet(batches, groups: int, shards: int, hot_runs: int):
@@ -331,6 +333,7 @@ def meet(batches, groups: int, shards: int, hot_runs: int):
     salt = np.where(hot, h % np.maximum(1, -(-distinct // hot_runs)).astype(U64), U64(0)).astype(U64)
     shard = mix(v + salt * U64(0x9E3779B97F4A7C15)) % U64(shards)
     yield from dealt(receiver(d, groups), WANTED, [d, s, c, shard, hot.astype(np.uint8)])
+    give_back()
 
 
 def fetch(docs: pa.Table, wants: pa.Table, key_at: int, text_at: int):
@@ -394,6 +397,8 @@ def sort(batches, groups: int, shards: int):
             last = to
     if held:
         yield from solve()
+        held.clear()
+    give_back()
 
 
 def merge(batches, groups: int):
