@@ -162,3 +162,29 @@ def test_functions(spark):
     assert spark.createDataFrame([("\x1c\t a b　\n",)], "s string").select(stripped(F.col("s"))).first()[0] == "a b"
     got = spark.range(1).select(count_for(F.lit(5), 0.5), count_for(F.lit(7), 0.5), count_for(F.lit(3), 0.01), count_for(F.lit(3), 0), count_for(F.lit(0), 0.5)).first()
     assert tuple(got) == (2, 4, 1, 0, 0)
+
+
+def test_replays_of_committed_events(spark):
+    """The check of committed ids drops replays of those only; without it they are processed again; other replays go the ordinary way."""
+    from tidemark.plans import compositions
+
+    spec = "event_id long, entity_id long, business_key string, event_ts timestamp, value long, arrival_seq long, fault_tags array<string>, is_recovery_replay boolean"
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    event = lambda i, seq, key="k", replay=False: (i, i % 2, key, at, i, seq, [], replay)
+    committed = spark.createDataFrame([event(1, 1), event(2, 2)], spec)
+    replays = spark.createDataFrame([event(1, 10, replay=True), event(2, 11, replay=True), event(3, 12, replay=True), event(3, 13, replay=True), event(4, 14, None, True)], spec)
+    rest = spark.createDataFrame([event(2, 20), event(3, 21), event(5, 22), event(5, 23), event(6, 24, None)], spec)
+    taken = lambda idempotent: sorted((r.event_id, r.arrival_seq) for r in compositions.restarted(replays, rest, committed, idempotent).collect())
+    assert taken(True) == [(3, 12), (5, 22)]
+    assert taken(False) == [(1, 10), (2, 11), (3, 12), (5, 22)]
+    assert sorted(r.event_id for r in compositions.suppressed(replays, committed).collect()) == [3, 3, 4]
+
+
+def test_compositions_of_an_empty_stream(spark, tmp_path):
+    from tidemark import catalog
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("false").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("pipeline_S1_state", "cdc_phase_counters", "recovery_replay_suppress"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+    row = catalog.QUERIES["pipeline_S4_metrics"](spark, str(tmp_path)).first()
+    assert row.oracle_entities == row.already_committed_replay_count == 0 and row.state_correctness_rate == 0
