@@ -27,6 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, the one with the least doc_id. Texts without words are one class; texts that
+    differ under one doc_id, or under none, are documents of their own."""
     return simhash_dedup.keep_one(docs)
 
 
@@ -36,10 +38,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data. Null texts stay null, equal texts stay equal."""
     return pii_surrogates.replace(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens. A null or empty text is its end token alone; an empty table gives no rows."""
     return curve_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
