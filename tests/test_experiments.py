@@ -191,6 +191,12 @@ def test_command_line(spark, capsys, tmp_path):
     for bad in (["null-keys", "--keys", "id"], ["null-keys", "--synthetic", "--keys", "no"], ["null-keys", "--synthetic", "--keys", "id", "id"], ["freshness", "--synthetic", "--timestamp-column", "event_ts", "--max-age-seconds", "nan"], ["null-keys", "--csv", tmp_path / "none.csv", "--keys", "id"], ["unknown"], ["freshness", "--synthetic", "--timestamp-column", "event_ts", "--max-age-seconds", 1, "--now", "2026-01-01"]):
         code, out = run(capsys, spark, *bad)
         assert code == 2 and out["status"] == "error" and out["error"], bad
+    for content in ([], {"other": 1}, {"synthetic": True, "strict": None, "keys": ["id"]}, {"synthetic": 1, "keys": ["id"]}, {"synthetic": True, "keys": "id"}, {"synthetic": True, "csv": "x", "keys": ["id"]}, {"csv": "", "keys": ["id"]}):
+        config.write_text(json.dumps(content))
+        code, out = run(capsys, spark, "duplicate-keys", "--config", config)
+        assert code == 2 and out["error"], content
+    config.write_text(json.dumps({"csv": str(data), "keys": ["id"]}))
+    assert run(capsys, spark, "duplicate-keys", "--config", config, "--synthetic")[0] == 1
     assert run(capsys, spark, "cdc-demo", "--seed", 3)[0] == 0
     assert run(capsys, spark, "cdc-demo", "--checkpoint-after", 9)[0] == 2
 
