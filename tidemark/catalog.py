@@ -408,11 +408,10 @@ def gen_changes(spark, sf_dir):
     return generators.changes(spark, 64)
 
 
-@query("SELECT 'e' || i AS event_id, 'entity-' || i % 500 AS entity_id, 'k' || i AS business_key, TIMESTAMP '2026-04-01' + INTERVAL 1 SECOND * i AS event_ts, i AS arrival_seq FROM range(10000) r(i)")
+@query("SELECT 'e' || i AS event_id, 'entity-' || i % 500 AS entity_id, 'k' || i AS business_key, TIMESTAMP '2026-04-01' + INTERVAL 1 SECOND * i AS event_ts, ('0x' || substr(md5('7:' || i), 1, 12))::BIGINT % 1000000 + 1 AS value, i AS arrival_seq FROM range(10000) r(i)")
 def gen_hashed_events(spark, sf_dir):
-    """Values come from Spark's hash and aren't compared."""
     events = generators.hashed_events(spark, 10_000, 7)
-    return events.select("event_id", "entity_id", "business_key", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "arrival_seq")
+    return events.select("event_id", "entity_id", "business_key", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "value", "arrival_seq")
 
 
 @query("SELECT false AS passed, false AS strict, 3::BIGINT AS rows_checked, 1::BIGINT AS invalid_key_rows, 3::BIGINT AS selected_rows, 1::BIGINT AS duplicate_groups, 2::BIGINT AS duplicate_rows, 1::BIGINT AS excess_rows, 1::BIGINT AS null_key_rows_excluded")

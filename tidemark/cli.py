@@ -20,7 +20,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import instant
+from .functions.text import instant, isoformat
 from .operators import checks
 from .session import session
 from .sources import strict_csv
@@ -107,8 +107,8 @@ def freshness(df: DataFrame, chosen: dict) -> dict:
             raise ValueError(SETTINGS["now"].wrong)
     found = checks.freshness(df, at, chosen["max_age_seconds"], now, "row_no").drop("latest_timestamp").first().asDict()
     # the latest instant keeps the offset it was written with
-    latest = df.agg(F.max_by(at, F.struct(instant(at), -F.col("row_no")))).first()[0]
-    return found | {"latest_timestamp": latest.replace("Z", "+00:00")}
+    latest = df.agg(F.max_by(isoformat(at), F.struct(instant(at), -F.col("row_no")))).first()[0]
+    return found | {"latest_timestamp": latest}
 
 
 def checking(look: Callable[[DataFrame, dict], dict]):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRATEGIES = ("arrival", "id_only", "version")
+DECISIONS, PHASES = ("applied", "duplicate", "stale", "conflict"), ("attempt", "restart", "redelivery")
 PAYLOAD = ["key", "version", "value", "deleted"]
 
 
@@ -33,6 +34,16 @@ def conflicting_versions(events: DataFrame, runs: Sequence[str] = ()) -> DataFra
     return events.groupBy(*runs, "key", "version", "value", "deleted").agg(F.lit(1).alias("one")).groupBy(*runs, "key", "version").agg(F.count("*").alias("payloads")).where("payloads > 1")
 
 
+def validate(events: DataFrame) -> None:
+    """Raises ValueError for the first event that breaks a rule, or for an id or a version that stands for two payloads."""
+    first = invalid_events(events).agg(F.min("q").alias("q"), F.min_by("error", "q").alias("error")).first()
+    if first.q is not None:
+        raise ValueError(f"event {first.q}: {first.error}")
+    for found, names in ((conflicting_ids(events), ["event_id"]), (conflicting_versions(events), ["key", "version"])):
+        for row in found.orderBy(*names).limit(1).collect():
+            raise ValueError(", ".join(f"{n} {row[n]}" for n in names) + " stands for different payloads")
+
+
 def redelivered(events: DataFrame, total: int | Column, backwards: bool = True) -> DataFrame:
     """The deliveries 0..total-1 and all of them again."""
     again = F.lit(2) * F.lit(total) - 1 - F.col("q") if backwards else F.col("q") + total
@@ -93,6 +104,28 @@ def counters(phased_rows: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
     return phased_rows.groupBy(*runs, "phase", "decision").agg(F.count("*").alias("deliveries"))
 
 
+def counters_wide(phased_rows: DataFrame) -> DataFrame:
+    """A row for each phase with a count for each decision, zeros where there is none."""
+    counts = phased_rows.groupBy("phase").agg(*(F.count_if(F.col("decision") == d).alias(d) for d in DECISIONS))
+    phases = phased_rows.sparkSession.createDataFrame([(p,) for p in PHASES], "phase string")
+    return phases.join(counts, "phase", "left").fillna(0)
+
+
+def recovery_counters(phased_rows: DataFrame, checkpoint: int | Column, interruption: int | Column) -> DataFrame:
+    """Attempts lost by the restart, how many of them it made again, and the deliveries of the restart and after it."""
+    phase, q = F.col("phase"), F.col("q")
+    return phased_rows.agg(
+        F.count_if((phase == "attempt") & (q >= checkpoint)).alias("lost_attempts"), F.count_if((phase == "restart") & (q < interruption)).alias("replayed_lost_attempts"),
+        F.count_if(phase == "restart").alias("restart_deliveries"), F.count_if(phase == "redelivery").alias("redelivery_deliveries"),
+    )
+
+
+def ledger_coverage(decided: DataFrame) -> DataFrame:
+    """Ids that a full ledger remembers at the end, and all that were delivered."""
+    kept = F.col("decision").isin("applied", "stale")
+    return decided.agg(F.count_distinct(F.when(kept, F.col("event_id"))).alias("known_ids"), F.count_distinct("event_id").alias("delivered_ids"))
+
+
 def violations(phased_rows: DataFrame, checkpoint: int | Column, runs: Sequence[str] = ()) -> DataFrame:
     return phased_rows.groupBy(*runs).agg(*violation_counts(checkpoint))
 

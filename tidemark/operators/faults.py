@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 LATE, COPY, CONFLICT = 10**12, 2 * 10**12, 10**11
 
 
+def chosen(df: DataFrame, ids: DataFrame, key: str = "event_id") -> DataFrame:
+    """df and chosen: whether a row's key is among ids, which may be many."""
+    return df.join(ids.select(key, F.lit(True).alias("chosen")), key, "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
 def tagged(name: str) -> Column:
     return F.array_sort(F.array_union("fault_tags", F.array(F.lit(name))))
 

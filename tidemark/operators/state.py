@@ -47,6 +47,15 @@ def diff(actual: DataFrame, expected: DataFrame, runs: Sequence[str] = ()) -> Da
     return both.select(*runs, "key", reason.alias("reason"))
 
 
+def contradictions(changes: DataFrame) -> DataFrame:
+    """kind, name: ids and versions whose least and greatest payloads differ. An expected state that has any is none; this
+    check shares nothing with those that replays make of their input."""
+    apart = lambda *c: F.min(F.struct(*c)) != F.max(F.struct(*c))
+    ids = changes.groupBy("event_id").agg(apart("key", "version", "value", "deleted").alias("apart")).select(F.lit("event_id").alias("kind"), F.col("event_id").cast("string").alias("name"), "apart")
+    versions = changes.groupBy("key", "version").agg(apart("value", "deleted").alias("apart")).select(F.lit("version").alias("kind"), F.concat_ws("/", "key", "version").alias("name"), "apart")
+    return ids.unionByName(versions).where("apart").drop("apart")
+
+
 def order_breaks(df: DataFrame, key: str = "entity_id") -> DataFrame:
     """key, deliveries, out_of_order: how often an entity's event time goes back."""
     back = F.col("event_ts") < F.lag("event_ts").over(Window.partitionBy(key).orderBy("arrival_seq"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc, ledger, state
+from ..operators.cdc import DECISIONS, PHASES
 from ..operators.state import latest_version
 
 # Fixed values.
@@ -18,7 +19,6 @@ SCENARIOS = ("ordered", "duplicate_only", "ordered_delete_reinsert", "stale_upda
 WORKLOADS = ("ordered", "out_of_order", "duplicates", "delete_reinsert", "conflicts", "checkpoint", "redelivery")
 ORDERINGS = ("native", "reverse", "shuffle", "version_order")
 SEEDS, KEY_COUNTS = (7, 17, 29), (8, 64)
-DECISIONS, PHASES = ("applied", "duplicate", "stale", "conflict"), ("attempt", "restart", "redelivery")
 LIMITS = "Synthetic deliveries and logical checkpoints; the streaming materializer is the durable form."
 
 RUN = ["keys", "seed", "scenario"]
@@ -122,10 +122,13 @@ def observe(spark: SparkSession, runs: list[tuple] | None = None, of=placed, bac
 
 
 def by_strategy(observations: DataFrame) -> DataFrame:
+    """Runs by outcome, and violations; the times of runs, where observations have `seconds`."""
     c = F.col
+    times = [F.min("seconds").alias("min_seconds"), F.max("seconds").alias("max_seconds")] if "seconds" in observations.columns else []
     return observations.groupBy("strategy").agg(
         F.count_if("state_correct").alias("correct"), F.count_if(~c("state_correct")).alias("incorrect"), F.count_if("input_rejected").alias("rejected"),
         *(F.sum(x).alias(f"{x}_violation_sum") for x in ("attempted", "committed_prefix", "recovered")),
+        *times,
     )
 
 
@@ -170,6 +173,8 @@ def evaluate(spark: SparkSession, name: str = "stale_update", strategy: str = "a
     if any(type(x) is not int for x in (checkpoint, interruption)) or not 0 <= checkpoint <= interruption <= total:
         raise ValueError("require 0 <= checkpoint <= interruption <= event count")
     again = name == "post_recovery_redelivery" if redeliver is None else redeliver
+    if not state.contradictions(frame(spark, [run], lambda name, keys, _: base(name, keys)).drop(*RUN)).isEmpty():
+        raise ValueError("the expected changes contradict one another")
     target = expected(spark, [run]).drop(*RUN)
     out = {"schema_version": "3.0", "scenario": name, "strategy": strategy, "validation": validation, "checkpoint_offset": checkpoint, "interruption_offset": interruption, "conflict_expected": name in ("conflicting_id", "same_version_conflict", "ledger_expiry"), "limitations": LIMITS}
     if validation == "global" and not (cdc.conflicting_ids(events).isEmpty() and cdc.conflicting_versions(events).isEmpty()):
@@ -190,8 +195,8 @@ def evaluate(spark: SparkSession, name: str = "stale_update", strategy: str = "a
         reached = cdc.final_state(decided)
         restarted = [t["state"] for t in trace if t["phase"] == "restart"]
         out |= {"input_rejected": False, "completed": not conflict, "conflict_error": "conflicting delivery" if conflict else None, "trace": trace, "ledger_peak": max((t["ledger_peak"] for t in trace), default=0), "redelivery_state_unchanged": trace[-1]["state"] == restarted[-1] if again and not conflict else None}
-    found = {(r.phase, r.decision): r.deliveries for r in cdc.counters(rows).collect()}
-    out["counters"] = {p: {d: found.get((p, d), 0) for d in DECISIONS} for p in PHASES}
+    found = {r.phase: {d: r[d] for d in DECISIONS} for r in cdc.counters_wide(rows).collect()}
+    out["counters"] = {p: found[p] for p in PHASES}
     out["violations"] = cdc.violations(rows, checkpoint).first().asDict()
     restarts = sum(out["counters"]["restart"].values())
     halted = not out["completed"] and not restarts and not out["counters"]["redelivery"]["conflict"] and any(out["counters"]["attempt"].values()) and interruption > 0 and out["counters"]["attempt"]["conflict"] > 0
@@ -217,18 +222,19 @@ def demonstrate(spark: SparkSession, seed: int = 7, interrupt_after: int = 5, ch
     events, total = demo_events(spark, seed)
     if not 0 <= checkpoint_after <= interrupt_after <= total:
         raise ValueError("require 0 <= checkpoint_after <= interrupt_after <= event count")
+    cdc.validate(events)
     want = latest_version(events)
     decided = cdc.decisions(cdc.redelivered(events, total, backwards=False), "version")
     reached, once = cdc.final_state(decided), cdc.final_state(decided.where(F.col("q") < total))
     naive = state.last_arrival(events, "key", "q").select("key", "version", "value", "deleted")
     rows = cdc.phased(decided, total, checkpoint_after, interrupt_after)
-    ids = decided.agg(F.count_distinct(F.when(F.col("decision").isin("applied", "stale"), F.col("event_id"))).alias("known"), F.count_distinct("event_id").alias("all")).first()
+    ids = cdc.ledger_coverage(decided).first()
     found = cdc.counters(rows.where("phase <> 'attempt'")).groupBy("decision").agg(F.sum("deliveries").alias("n")).collect()
     counts = {d: 0 for d in DECISIONS[:3]} | {r.decision: r.n for r in found}
     replays = rows.where(F.col("phase") == "restart").where(F.col("q") < interrupt_after).count()
     named = lambda df: {r.key: {"version": r.version, "value": r.value, "deleted": r.deleted} for r in df.collect()}
     right = state.diff(reached, want).isEmpty()
-    invariants = {"state_matches_oracle": right, "redelivery_idempotent": state.diff(reached, once).isEmpty(), "dedup_ledger_complete": ids.known == ids.all, "checkpoint_is_earlier": checkpoint_after <= interrupt_after, "replayed_uncommitted_suffix": replays == interrupt_after - checkpoint_after}
+    invariants = {"state_matches_oracle": right, "redelivery_idempotent": state.diff(reached, once).isEmpty(), "dedup_ledger_complete": ids.known_ids == ids.delivered_ids, "checkpoint_is_earlier": checkpoint_after <= interrupt_after, "replayed_uncommitted_suffix": replays == interrupt_after - checkpoint_after}
     wrong = [r.key for r in state.diff(naive, want).orderBy("key").collect()]
     lost = interrupt_after - checkpoint_after
     recovery = {"checkpoint_offset": checkpoint_after, "interruption_offset": interrupt_after, "uncommitted_events_lost": lost, "replayed_after_restart": replays, "redelivered_after_recovery": total}
