@@ -10,7 +10,8 @@ What can follow the first member two sets share bounds their similarity, so most
    give a star and a chain, and are written down.
 2. Pairs of different components are tested on their whole sets, once sketches that bound the difference have ruled most
    out, and linked texts are joined.
-3. In the crowds written down, all pairs of texts of different components that are still untested are tested, too.
+3. In the crowds written down that hold several components, texts meet again, with their sketches: only pairs of different
+   components that sizes, places and sketches allow are written down and tested, too.
 
 So each pair of 0.8 and more is linked or lies in one component already, and each link is such a pair. A component may
 hold texts less similar than that, joined by others between them.
@@ -155,18 +156,28 @@ def meet(batches, crowd: int):
     give_back()
 
 
+def likely(size: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches allow a similarity of 0.8 to the sets at places a and b."""
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        turned = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        out[at : at + (1 << 14)] = 9 * turned <= size[x] + size[y]
+    return out
+
+
 def across(batches):
-    """Crowds, sorted by member and size: all pairs of different components."""
+    """Crowds, sorted by member and size: pairs of different components whose sketches allow a similarity of 0.8."""
     held, last = [], None
 
     def solve():
-        t, node, size, place, part = (np.concatenate(x) for x in zip(*held))
+        t, node, size, place, part, bits = (np.concatenate(x) for x in zip(*held))
         lows, highs, n = [], [], 0
         # only groups with several components
         heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         mixed = np.minimum.reduceat(part, heads) != np.maximum.reduceat(part, heads)
         use = np.repeat(mixed, np.diff(np.append(heads, len(t))))
-        t, node, size, place, part = t[use], node[use], size[use], place[use], part[use]
+        t, node, size, place, part, bits = t[use], node[use], size[use], place[use], part[use], bits[use]
         live = np.arange(len(t))
         for d in range(1, len(t)):
             live = live[live + d < len(t)]
@@ -175,6 +186,7 @@ def across(batches):
                 break
             at = live[part[live + d] != part[live]]
             at = at[first_shared(size[at], place[at], size[at + d], place[at + d])]
+            at = at[likely(size, bits, at, at + d)]
             lows.append(node[at])
             highs.append(node[at + d])
             n += len(at)
@@ -185,9 +197,12 @@ def across(batches):
             yield from paired(np.concatenate(lows), np.concatenate(highs))
 
     for b in batches:
+        if not b.num_rows:
+            continue
         columns = [b.column(c).to_numpy() for c in ("token", "node", "size", "place", "part")]
+        columns.append(b.column("value").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64))
         # a member's rows stay together
-        cut = np.searchsorted(columns[0], columns[0][-1]) if b.num_rows else 0
+        cut = np.searchsorted(columns[0], columns[0][-1])
         if held and (last != columns[0][0] or cut):
             edge = np.searchsorted(columns[0], last, "right") if last == columns[0][0] else 0
             held.append([c[:edge] for c in columns])
@@ -282,9 +297,14 @@ def tested(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of nodes, those of a similarity of 0.8 and more. Sketches rule most others out first."""
     both = F.col("n_a") + F.col("n_b")
     turned = F.aggregate(F.zip_with("value_a", "value_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = materialize(beside(docs, pairs, sketch).where(9 * turned <= both).select("a", "b"), "near-likely")
+    return similar(docs, materialize(beside(docs, pairs, sketch).where(9 * turned <= both).select("a", "b"), "near-likely"))
+
+
+def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) of nodes, those whose whole sets have a similarity of 0.8 and more."""
     shared = F.size(F.array_intersect("value_a", "value_b"))
-    return beside(docs, near, lambda members: members.view(np.int64)).where(9 * shared >= 4 * both).select("a", "b")
+    met = beside(docs, pairs, lambda members: members.view(np.int64))
+    return met.where(9 * shared >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def node_of(text) -> Column:
@@ -320,9 +340,14 @@ def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesse
     crowds = met.where("token is not null").select("token", F.col("a").alias("node"), F.shiftright("b", 32).alias("size"), F.col("b").bitwiseAND(2**32 - 1).alias("place"))
     if crowds.isEmpty():
         return joined
-    crowds = dealt_join(crowds, joined, "node", "token", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("part"))
-    more = crowds.repartition(n, "token").sortWithinPartitions("token", "size", "node").mapInArrow(across, "a long, b long, token long")
+    crowds = materialize(dealt_join(crowds, joined, "node", "token", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("part")), "near-crowds")
+    mixed = crowds.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    crowds = materialize(crowds.join(mixed, "token", "left_semi"), "near-mixed")
+    if crowds.isEmpty():
+        return joined
+    sketches = of_nodes(docs, crowds.select("node").distinct(), sketch).select("node", "value")
+    more = crowds.join(sketches, "node").repartition(n, "token").sortWithinPartitions("token", "size", "node").mapInArrow(across, "a long, b long, token long")
     more = materialize(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-across")
     if more.isEmpty():
         return joined
-    return components(links.unionByName(tested(docs, more)))
+    return components(links.unionByName(similar(docs, more)))
