@@ -341,8 +341,11 @@ def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesse
     if crowds.isEmpty():
         return joined
     crowds = materialize(dealt_join(crowds, joined, "node", "token", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("part")), "near-crowds")
-    mixed = crowds.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    crowds = materialize(crowds.join(mixed, "token", "left_semi"), "near-mixed")
+    # crowds of the same texts are one: of the members that two of its texts share the first has the least place in both
+    mixed = crowds.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("node")).alias("texts"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high").select("token", F.xxhash64("texts", "n").alias("crowd"))
+    crowds = crowds.join(mixed, "token").groupBy(F.col("crowd").alias("token"), "node", "size", "part").agg(F.min("place").alias("place"))
+    crowds = materialize(crowds, "near-mixed")
     if crowds.isEmpty():
         return joined
     sketches = of_nodes(docs, crowds.select("node").distinct(), sketch).select("node", "value")
