@@ -250,8 +250,8 @@ def similarity(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("crowd", [8, 2])
-def test_near_copies_of_one_piece(spark, crowd):
+@pytest.mark.parametrize("crowd, limit", [(8, 1 << 14), (2, 4)])
+def test_near_copies_of_one_piece(spark, crowd, limit):
     texts = []
     for i in range(12):
         t, other, share = prose(150 + 20 * i, 2000 + i), prose(400, 3000 + i).split(), 0.02 + 0.018 * i
@@ -262,7 +262,7 @@ def test_near_copies_of_one_piece(spark, crowd):
     docs = simhash_dedup.near_copies.with_nodes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     node = {r["doc_id"]: r["node"] for r in docs.collect()}
     want = grouped(texts, lambda a, b: similarity(a, b) >= 0.8)
-    joined = {r["node"]: r["component"] for r in simhash_dedup.near_copies.near_links(docs, crowd, 20).collect()}
+    joined = {r["node"]: r["component"] for r in simhash_dedup.near_copies.near_links(docs, crowd, 20, limit=limit).collect()}
     got = [joined.get(node[i], node[i]) for i in range(len(texts))]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 

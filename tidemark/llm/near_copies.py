@@ -10,8 +10,9 @@ What can follow the first member two sets share bounds their similarity, so most
    give a star and a chain, and are written down.
 2. Pairs of different components are tested on their whole sets, once sketches that bound the difference have ruled most
    out, and linked texts are joined.
-3. In the crowds written down that hold several components, texts meet again, with their sketches: only pairs of different
-   components that sizes, places and sketches allow are written down and tested, too.
+3. In the crowds written down that hold several components, texts outside the main one meet the others again, with their
+   sketches, in slices of bounded size: only pairs of different components that sizes, places and sketches allow are
+   written down and tested, too. In a first pass these are each text's likeliest only, then all that are still apart.
 
 So each pair of 0.8 and more is linked or lies in one component already, and each link is such a pair. A component may
 hold texts less similar than that, joined by others between them.
@@ -36,6 +37,8 @@ from .suffix_dedup import dealt, unsqueeze
 SHINGLE = 5
 CROWD = 8
 FLUSH = 1 << 19
+#: Members of a crowd in one task; pairs looked at, and pairs of sketches held, at once.
+SLICE, LOOK, HOLD = 1 << 14, 1 << 18, 1 << 14
 #: The sample: texts, the least of them that make a shingle common, and the most shingles.
 SAMPLE, COMMON, MOST_COMMON = 4000, 3, 50_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -96,11 +99,6 @@ def scout(batches, groups: int, common: np.ndarray, times: np.ndarray):
     give_back()
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can have a similarity of 0.8."""
-    return 5 * np.minimum(x, y).astype(np.int64) >= 4 * np.maximum(x, y).astype(np.int64)
-
-
 def first_shared(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sets of sizes x and y whose first shared member has places i and j can have a similarity of 0.8."""
     x, i, y, j = (v.astype(np.int64) for v in (x, i, y, j))
@@ -156,64 +154,76 @@ def meet(batches, crowd: int):
     give_back()
 
 
-def likely(size: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sketches allow a similarity of 0.8 to the sets at places a and b."""
-    out = np.empty(len(a), bool)
-    for at in range(0, len(a), 1 << 14):
-        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-        turned = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        out[at : at + (1 << 14)] = 9 * turned <= size[x] + size[y]
-    return out
+def turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
-def across(batches):
-    """Crowds, sorted by member and size: pairs of different components whose sketches allow a similarity of 0.8."""
-    held, last = [], None
-
-    def solve():
-        t, node, size, place, part, bits = (np.concatenate(x) for x in zip(*held))
-        lows, highs, n = [], [], 0
-        # only groups with several components
-        heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        mixed = np.minimum.reduceat(part, heads) != np.maximum.reduceat(part, heads)
-        use = np.repeat(mixed, np.diff(np.append(heads, len(t))))
-        t, node, size, place, part, bits = t[use], node[use], size[use], place[use], part[use], bits[use]
-        live = np.arange(len(t))
-        for d in range(1, len(t)):
-            live = live[live + d < len(t)]
-            live = live[(t[live + d] == t[live]) & alike(size[live + d], size[live])]
-            if not len(live):
-                break
-            at = live[part[live + d] != part[live]]
-            at = at[first_shared(size[at], place[at], size[at + d], place[at + d])]
-            at = at[likely(size, bits, at, at + d)]
-            lows.append(node[at])
-            highs.append(node[at + d])
-            n += len(at)
-            if n >= FLUSH:
-                yield from paired(np.concatenate(lows), np.concatenate(highs))
-                lows, highs, n = [], [], 0
-        if n:
-            yield from paired(np.concatenate(lows), np.concatenate(highs))
+def spread(lows: np.ndarray, highs: np.ndarray):
+    """(i, j) for each j from lows[i] to highs[i], up to a number at once or those of one i."""
+    ends = np.cumsum(highs - lows)
+    at = 0
+    while at < len(lows):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + LOOK, "right")))
+        n = highs[at:to] - lows[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        yield i, np.arange(len(i)) - np.repeat(ends[at:to] - n - base, n) + lows[i]
+        at = to
 
+
+def across(batches, best: bool):
+    """Crowds' slices, sorted by name, members first, by size: pairs of an asking text and a member of another component
+    whose sizes, places and sketches allow a similarity of 0.8. best: of these, for each asking text only the likeliest
+    with a member of the crowd's main component and the likeliest with another."""
+    carried, lows, highs, n = None, [], [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        columns = [b.column(c).to_numpy() for c in ("token", "node", "size", "place", "part")]
+        columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "node", "size", "place", "part", "stray")]
         columns.append(b.column("value").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64))
-        # a member's rows stay together
-        cut = np.searchsorted(columns[0], columns[0][-1])
-        if held and (last != columns[0][0] or cut):
-            edge = np.searchsorted(columns[0], last, "right") if last == columns[0][0] else 0
-            held.append([c[:edge] for c in columns])
-            yield from solve()
-            held = []
-            columns = [c[edge:] for c in columns]
-        if len(columns[0]):
-            held.append(columns)
-            last = columns[0][-1]
-    if held:
-        yield from solve()
+        ask = b.column("ask").to_numpy(zero_copy_only=False)
+        asking, members = [c[ask] for c in columns], [c[~ask] for c in columns]
+        if carried is not None:
+            members = [np.concatenate(x) for x in zip(carried, members)]
+        # a slice's members come before all that ask, so those of the last one are kept for the next batch
+        own = members[0] == columns[0][-1]
+        carried = [c[own] for c in members]
+        if not len(members[0]) or not len(asking[0]):
+            continue
+        name, node, size, place, part, stray, bits = members
+        names, group = np.unique(name, return_inverse=True)
+        key = (group.astype(np.int64) << 32) + size
+        own = np.minimum(np.searchsorted(names, asking[0]), len(names) - 1)
+        met = names[own] == asking[0]
+        own, asking = own[met], [c[met] for c in asking]
+        _, a_node, a_size, a_place, a_part, _, a_bits = asking
+        start = own.astype(np.int64) << 32
+        first = np.searchsorted(key, start + (4 * a_size.astype(np.int64) + 4) // 5)
+        last = np.searchsorted(key, start + 5 * a_size.astype(np.int64) // 4, "right")
+        for i, j in spread(first, last):
+            ok = a_part[i] != part[j]
+            if not best:  # both ask for one another
+                ok &= ~stray[j] | (a_node[i] < node[j])
+            ok &= first_shared(a_size[i], a_place[i], size[j], place[j])
+            i, j = i[ok], j[ok]
+            far = np.concatenate([turned(a_bits[i[k : k + HOLD]], bits[j[k : k + HOLD]]) for k in range(0, len(i), HOLD)]) if len(i) else np.empty(0, np.int64)
+            both = a_size[i].astype(np.int64) + size[j]
+            ok = 9 * far <= both
+            i, j, far, both = i[ok], j[ok], far[ok], both[ok]
+            if best and len(i):
+                by = np.lexsort((node[j], far / both, stray[j], i))
+                i, j = i[by], j[by]
+                head = np.append(True, (i[1:] != i[:-1]) | (stray[j][1:] != stray[j][:-1]))
+                i, j = i[head], j[head]
+            lows.append(a_node[i])
+            highs.append(node[j])
+            n += len(i)
+            if n >= FLUSH:
+                yield from paired(np.concatenate(lows), np.concatenate(highs))
+                lows, highs, n = [], [], 0
+    if n:
+        yield from paired(np.concatenate(lows), np.concatenate(highs))
     give_back()
 
 
@@ -325,7 +335,33 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return out.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
-def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesses: DataFrame | None = None) -> DataFrame:
+def mixed(crowds: DataFrame, joined: DataFrame) -> DataFrame:
+    """crowds (token, node, size, place) with each node's component (part), those of several components only. Crowds of the
+    same texts are one: of the members that two of its texts share the first has the least place in both."""
+    rows = dealt_join(crowds, joined, "node", "token", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rows = materialize(rows, "near-crowds")
+    tokens = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("node")).alias("texts"), F.count("*").alias("n"))
+    tokens = tokens.where("low <> high").select("token", F.xxhash64("texts", "n").alias("crowd"))
+    rows = dealt_join(rows, tokens, "token", "node").groupBy(F.col("crowd").alias("token"), "node", "size", "part").agg(F.min("place").alias("place"))
+    return materialize(rows, "near-mixed")
+
+
+def asked(crowds: DataFrame, sketches: DataFrame, best: bool, n: int, limit: int) -> DataFrame:
+    """Distinct pairs (a, b) that across finds. All texts outside a crowd's main component ask; the crowd's members are
+    dealt over slices of about `limit`, and who asks goes to each."""
+    parts = crowds.groupBy("token", "part").agg(F.count("*").alias("n"))
+    mains = parts.groupBy("token").agg(F.max(F.struct("n", "part")).alias("main"), F.ceil(F.sum("n") / limit).cast("int").alias("slices"))
+    rows = dealt_join(crowds, mains.select("token", F.col("main.part").alias("main"), "slices"), "token", "node")
+    rows = rows.withColumn("stray", F.col("part") != F.col("main")).join(sketches, "node")
+    own = F.array(F.struct(F.lit(False).alias("ask"), F.pmod(F.xxhash64("node", "token"), "slices").cast("int").alias("slice")))
+    every = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.lit(True).alias("ask"), s.alias("slice")))
+    rows = rows.select("*", F.explode(F.when(F.col("stray"), F.concat(own, every)).otherwise(own)).alias("to"))
+    rows = rows.select(F.xxhash64("token", "to.slice").alias("name"), "to.ask", "node", "size", "place", "part", "stray", "value")
+    dealt = rows.repartition(n, "name").sortWithinPartitions("name", "ask", "size", "node")
+    return dealt.mapInArrow(lambda b: across(b, best), "a long, b long, token long").select("a", "b").distinct()
+
+
+def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesses: DataFrame | None = None, limit: int = SLICE) -> DataFrame:
     """(node, component) of the nodes of with_nodes(...) that have near copies. guesses: pairs (a, b) of nodes to test first."""
     n = partitions(docs.sparkSession)
     common, times = common_shingles(docs, sample)
@@ -340,17 +376,19 @@ def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesse
     crowds = met.where("token is not null").select("token", F.col("a").alias("node"), F.shiftright("b", 32).alias("size"), F.col("b").bitwiseAND(2**32 - 1).alias("place"))
     if crowds.isEmpty():
         return joined
-    crowds = materialize(dealt_join(crowds, joined, "node", "token", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("part")), "near-crowds")
-    # crowds of the same texts are one: of the members that two of its texts share the first has the least place in both
-    mixed = crowds.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("node")).alias("texts"), F.count("*").alias("n"))
-    mixed = mixed.where("low <> high").select("token", F.xxhash64("texts", "n").alias("crowd"))
-    crowds = crowds.join(mixed, "token").groupBy(F.col("crowd").alias("token"), "node", "size", "part").agg(F.min("place").alias("place"))
-    crowds = materialize(crowds, "near-mixed")
+    crowds = mixed(crowds, joined)
     if crowds.isEmpty():
         return joined
     sketches = of_nodes(docs, crowds.select("node").distinct(), sketch).select("node", "value")
-    more = crowds.join(sketches, "node").repartition(n, "token").sortWithinPartitions("token", "size", "node").mapInArrow(across, "a long, b long, token long")
-    more = materialize(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-across")
+    # the likeliest pairs first, as most texts that are left join their group by them
+    best = materialize(asked(crowds, sketches, True, n, limit).join(pairs, ["a", "b"], "left_anti"), "near-best")
+    links = materialize(links.unionByName(similar(docs, best)), "near-links")
+    joined = components(links)
+    crowds = mixed(crowds.drop("part"), joined)
+    if crowds.isEmpty():
+        return joined
+    more = asked(crowds, sketches, False, n, limit).join(pairs.unionByName(best), ["a", "b"], "left_anti")
+    more = materialize(more, "near-across")
     if more.isEmpty():
         return joined
     return components(links.unionByName(similar(docs, more)))
