@@ -261,8 +261,17 @@ def bitmap(nodes: DataFrame) -> np.ndarray:
         if bits.any():
             yield batch(arrow, [[zstandard.compress(np.packbits(bits).tobytes())]])
 
+    def either(batches):
+        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        for b in batches:
+            for blob in b.column("bits").to_pylist():
+                bits |= np.frombuffer(zstandard.decompress(blob), np.uint8)
+        if bits.any():
+            yield batch(arrow, [[zstandard.compress(bits.tobytes())]])
+
     found = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in nodes.mapInArrow(fold, "bits binary").toLocalIterator():
+    folded = nodes.mapInArrow(fold, "bits binary").repartition(8).mapInArrow(either, "bits binary")
+    for row in folded.collect():  # eight maps at most
         found |= np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
     return np.unpackbits(found).astype(bool)
 
