@@ -1,16 +1,21 @@
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark import storage
 from tidemark.llm import bpe_tree, bytelevel, components, curve_packing, language_id, media_chunks, merkle_warc, permutation_index, pii_surrogates, simhash_dedup, suffix_dedup, token_counts
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -280,6 +285,23 @@ def test_texts_below_the_similarity_stay(spark):
     assert simhash_dedup.keep_one(docs).count() == len(texts)
 
 
+def test_tables_and_shuffle_files_go_early(spark):
+    """Of a step's tables only its result is left, and no shuffle file of a table that is written."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in map(str, manager.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before, tables = files(), set(os.listdir(top))
+    rows = lambda name: storage.materialize(spark.range(500).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), name)
+    out = storage.settled(lambda: rows("one").join(rows("two").select("k"), "k").repartition(2), "three")
+    left = lambda: {f for f in files() - before if f.endswith(".data")}
+    for _ in range(50):  # they go in the background
+        if left():
+            time.sleep(0.1)
+    assert not left()
+    assert [x.split("-")[0] for x in set(os.listdir(top)) - tables] == ["three"]
+    assert out.count() == 7
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 201)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

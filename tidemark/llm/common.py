@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, release, shared_dir  # noqa: F401
+from ..storage import materialize, release, settled, shared_dir  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

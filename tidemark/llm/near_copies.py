@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, dealt_join, documents, give_back, materialize, partitions, release, slices
+from .common import batch, dealt_join, documents, give_back, materialize, partitions, release, settled, slices
 from .components import components
 from .suffix_dedup import dealt, unsqueeze
 
@@ -316,7 +316,7 @@ def tested(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of nodes, those of a similarity of 0.8 and more. Sketches rule most others out first."""
     both = F.col("n_a") + F.col("n_b")
     turned = F.aggregate(F.zip_with("value_a", "value_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return similar(docs, materialize(beside(docs, pairs, sketch).where(9 * turned <= both).select("a", "b"), "near-likely"))
+    return similar(docs, settled(lambda: beside(docs, pairs, sketch).where(9 * turned <= both).select("a", "b"), "near-likely"))
 
 
 def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -351,8 +351,7 @@ def mixed(crowds: DataFrame, joined: DataFrame) -> DataFrame:
     rows = materialize(rows, "near-crowds")
     tokens = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("node")).alias("texts"), F.count("*").alias("n"))
     tokens = tokens.where("low <> high").select("token", F.xxhash64("texts", "n").alias("crowd"))
-    rows = dealt_join(rows, tokens, "token", "node").groupBy(F.col("crowd").alias("token"), "node", "size", "part").agg(F.min("place").alias("place"))
-    return materialize(rows, "near-mixed")
+    return dealt_join(rows, tokens, "token", "node").groupBy(F.col("crowd").alias("token"), "node", "size", "part").agg(F.min("place").alias("place"))
 
 
 def asked(crowds: DataFrame, sketches: DataFrame, best: bool, n: int, limit: int) -> DataFrame:
@@ -371,33 +370,35 @@ def asked(crowds: DataFrame, sketches: DataFrame, best: bool, n: int, limit: int
 
 
 def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesses: DataFrame | None = None, limit: int = SLICE) -> DataFrame:
-    """(node, component) of the nodes of with_nodes(...) that have near copies. guesses: pairs (a, b) of nodes to test first."""
+    """(node, component) of the nodes of with_nodes(...) that have near copies. guesses: a stored table of pairs (a, b) of
+    nodes to test first."""
     n = partitions(docs.sparkSession)
     common, times = common_shingles(docs, sample)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
-    links = none if guesses is None else materialize(tested(docs, materialize(guesses, "near-guesses")), "near-links")
+    links = none if guesses is None else settled(lambda: tested(docs, guesses), "near-links")
     joined = components(links)
     met = docs.select("text", "node").mapInArrow(lambda b: scout(b, 4 * n, common, times), SPEC)
     met = materialize(met.repartition(n, "to").mapInArrow(lambda b: meet(b, crowd), "a long, b long, token long"), "near-met")
     pairs = materialize(met.where("token is null").select("a", "b").distinct(), "near-pairs")
-    links = materialize(links.unionByName(tested(docs, materialize(apart(pairs, joined), "near-apart"))), "near-links")
+    links = settled(lambda: links.unionByName(tested(docs, materialize(apart(pairs, joined), "near-apart"))), "near-links")
     joined = components(links)
     crowds = met.where("token is not null").select("token", F.col("a").alias("node"), F.shiftright("b", 32).alias("size"), F.col("b").bitwiseAND(2**32 - 1).alias("place"))
     if crowds.isEmpty():
         return joined
-    crowds = mixed(crowds, joined)
+    crowds = settled(lambda: mixed(crowds, joined), "near-mixed")
+    release(met)
     if crowds.isEmpty():
         return joined
     sketches = of_nodes(docs, crowds.select("node").distinct(), sketch).select("node", "value")
     # the likeliest pairs first, as most texts that are left join their group by them
     best = materialize(asked(crowds, sketches, True, n, limit).join(pairs, ["a", "b"], "left_anti"), "near-best")
-    links = materialize(links.unionByName(similar(docs, best)), "near-links")
+    links = settled(lambda: links.unionByName(similar(docs, best)), "near-links")
     joined = components(links)
-    crowds = mixed(crowds.drop("part"), joined)
+    crowds = settled(lambda: mixed(crowds.drop("part"), joined), "near-mixed")
     if crowds.isEmpty():
         return joined
     more = asked(crowds, sketches, False, n, limit).join(pairs.unionByName(best), ["a", "b"], "left_anti")
     more = materialize(more, "near-across")
     if more.isEmpty():
         return joined
-    return components(links.unionByName(similar(docs, more)))
+    return components(settled(lambda: links.unionByName(similar(docs, more)), "near-links"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import batch, dealt_join, documents, give_back, materialize, slices
+from .common import batch, dealt_join, documents, give_back, materialize, settled, slices
 from .components import components
 
 RADIUS = 2
@@ -302,16 +302,21 @@ def named(prints: DataFrame, least: DataFrame, joined: DataFrame) -> DataFrame:
     return dealt_join(prints, names, "node", "doc_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of near copies: the one with the least doc_id (none: last), then the least digest
-    of its text. All columns are kept. Texts that differ under one doc_id are documents of their own; rows that repeat
-    both count once. Null and empty texts, and those without words, are one class. Empty table, empty result."""
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """kept_id_, kept_node_ and kept_times_ of the one row of each class that stays."""
     named_docs = near_copies.with_nodes(docs)
     rows = materialize(named_docs.groupBy("doc_id", "node").agg(F.count("*").alias("times")), "near-nodes")
-    joined = near_copies.near_links(named_docs, guesses=near_prints(named_docs))
+    joined = near_copies.near_links(named_docs, guesses=settled(lambda: near_prints(named_docs), "near-guesses"))
     parts = dealt_join(rows, joined, "node", "doc_id", "left").select("doc_id", "node", "times", F.coalesce("component", "node").alias("part"))
     first = parts.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "times")).alias("first"))
-    kept = materialize(first.select(F.col("first.doc_id").alias("kept_id_"), F.col("first.node").alias("kept_node_"), F.col("first.times").alias("kept_times_")), "near-kept")
+    return first.select(F.col("first.doc_id").alias("kept_id_"), F.col("first.node").alias("kept_node_"), F.col("first.times").alias("kept_times_"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of near copies: the one with the least doc_id (none: last), then the least digest
+    of its text. All columns are kept. Texts that differ under one doc_id are documents of their own; rows that repeat
+    both count once. Null and empty texts, and those without words, are one class. Empty table, empty result."""
+    kept = settled(lambda: first_of_classes(docs), "near-kept")
     node = near_copies.node_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")) & (node == F.col("kept_node_"))
     out = docs.join(kept.hint("shuffle_hash"), mine, "left_semi")
