@@ -387,6 +387,22 @@ def test_op4_chunks(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(brute_repeats(rows))
 
 
+def test_op4_rows_do_not_grow_with_the_square_of_the_partitions():
+    """Texts go to shards a row a run, and what a task's shards find is one row for each group of documents."""
+    texts = [prose(60, 700 + i) for i in range(4)]
+    found = list(suffix_dedup.meet(suffix_dedup.scout([pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": [t[5 * i :] for i in range(2) for t in texts]})], 1), 1, 1 << 20, 4096))
+    wants = pa.Table.from_batches([b.filter(pa.compute.equal(b.column("kind"), suffix_dedup.WANTED)) for b in found])
+    docs = pa.table({"key": list(range(8)), "text": [t[5 * i :] for i in range(2) for t in texts]})
+    runs = suffix_dedup.fetch(docs, wants, 0, 1)
+    assert runs.schema.names == ["to", "doc", "start", "hot", "text"] and len(set(runs.column("to").to_pylist())) > 1
+    try:
+        suffix_dedup.SHARD_BYTES, kept = 100, suffix_dedup.SHARD_BYTES
+        blobs = [x for b in suffix_dedup.sort(runs.sort_by("to").combine_chunks().to_batches(), 3) for x in b.column("to").to_pylist()]
+    finally:
+        suffix_dedup.SHARD_BYTES = kept
+    assert len(blobs) == len(set(blobs)) <= 3
+
+
 # -- 5: media ------------------------------------------------------------------------------------------------------------
 
 

@@ -6,14 +6,15 @@ they are, and a run whose value occurs nowhere else holds no repeated window.
 
 1. scout: hashes of runs go to a task by routing value; runs alone with theirs are done. Equal runs are folded to
    their first place, in the task that reads them and again where they meet, so very common passages shrink first.
-2. fetch: the text of each distinct run that is left is cut from its document and sent to the shard of its value.
+2. fetch: the text of each distinct run that is left is cut from its document and sent to the shard of its value, a row
+   a run: a blob for each document group and shard would be as many as the square of the partitions.
 3. sort: a shard builds the suffix array of its runs (Larsson-Sadakane refinement in numpy), common prefixes of
    neighbours (Kasai, by irreducible positions) and so the groups of equal windows with their first place.
    A value with more than `hot_runs` distinct runs is cut into several shards; the first places of their windows
    meet in tasks by digest and are merged by binary search in one another's sorted arrays.
 4. apply: each document drops the bytes of its windows that start earlier elsewhere.
 
-Only blobs of packed arrays are shuffled between the steps; nothing of the corpus reaches the driver.
+Else only blobs of packed arrays are shuffled between the steps; nothing of the corpus reaches the driver.
 
 Documents go by a key in these steps: their doc_id, or, if texts differ under one doc_id or under none, numbers in order
 of doc_id and a digest of the text.
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import batch, documents, give_back, materialize, partitions
+from .common import batch, documents, give_back, materialize, partitions, slices
 
 SPAN = 100
 GRAM = 32
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SHARD_BYTES = 4 << 20
 HOT_RUNS = 4096
 LAST = np.int64(2**63 - 1)
@@ -217,6 +218,8 @@ def earliest(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[
 
 BLOB = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 SPEC = "to long, kind int, blob binary"
+RUN = pa.schema([("to", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("hot", pa.bool_()), ("text", pa.binary())])
+RUN_SPEC = "to long, doc long, start long, hot boolean, text binary"
 FOUND, WANTED, HOT = 0, 1, 2
 
 
@@ -282,7 +285,7 @@ def scout(batches, groups: int):
             counts.append(n.astype(np.uint32))
 
     parts, size = [], 0
-    for b in batches:
+    for b in slices(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
             for at in range(0, len(text) - SPAN + 1, CHUNK):
                 piece = text[at : at + CHUNK + SPAN - 1]
@@ -292,7 +295,7 @@ def scout(batches, groups: int):
                     take(parts)
                     held += size
                     parts, size = [], 0
-                    if held >= 8 * CHUNK:
+                    if held >= 24 * CHUNK:
                         yield from flush()
                         held = 0
     if parts:
@@ -302,15 +305,20 @@ def scout(batches, groups: int):
     give_back()
 
 
+def passed(blobs: list[tuple[int, bytes]]):
+    """Rows of what others have found."""
+    for at in range(0, len(blobs), 256):
+        to, packed = zip(*blobs[at : at + 256])
+        yield batch(BLOB, [to, [FOUND] * len(to), packed])
+
+
 def meet(batches, groups: int, shards: int, hot_runs: int):
     """Runs by routing value: who has company, who is first."""
     got = []
     for b in batches:
-        for kind, to, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "to", "blob"))):
-            if kind == FOUND:
-                yield batch(BLOB, [[to], [kind], [blob]])
-            else:
-                got.append(unsqueeze(blob, "<u8", "<u8", "<i8", "<u4", "<u4"))
+        rows = list(zip(*(b.column(c).to_pylist() for c in ("kind", "to", "blob"))))
+        yield from passed([(to, blob) for kind, to, blob in rows if kind == FOUND])
+        got += [unsqueeze(blob, "<u8", "<u8", "<i8", "<u4", "<u4") for kind, _, blob in rows if kind == WANTED]
     if not got:
         return
     v, h, d, s, c = map(np.concatenate, zip(*got))
@@ -339,26 +347,12 @@ def meet(batches, groups: int, shards: int, hot_runs: int):
 def fetch(docs: pa.Table, wants: pa.Table, key_at: int, text_at: int):
     """Cut the wanted runs from their documents."""
     texts = dict(zip(docs.column(key_at).to_pylist(), docs.column(text_at).cast(pa.binary()).to_pylist()))
-    out, held = {}, []
+    made = []
     for blob in wants.column("blob").to_pylist():
-        held.append(unsqueeze(blob, "<i8", "<u4", "<u4", "<u8", "u1"))
-    rows = []
-    for d, s, c, shard, hot in held:
-        for doc, start, n, to, h in zip(d.tolist(), s.tolist(), c.tolist(), shard.tolist(), hot.tolist()):
-            out.setdefault(to, []).append((doc, start, h, texts[doc][start : start + n + SPAN - 1]))
-    for to, found in out.items():
-        d, s, h, runs = zip(*found)
-        head = np.array(d, "<i8").tobytes() + np.array(s, "<u4").tobytes() + np.array([len(r) for r in runs], "<u4").tobytes() + bytes(h)
-        rows.append((to, WANTED, len(runs).to_bytes(4, "little") + zstandard.compress(head + b"".join(runs), 1)))
-    return pa.Table.from_batches([batch(BLOB, list(zip(*rows)) if rows else [[], [], []])], BLOB)
-
-
-def unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    n, raw = int.from_bytes(blob[:4], "little"), zstandard.decompress(blob[4:])
-    d, s = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n)
-    sizes, hot = np.frombuffer(raw, "<u4", n, 12 * n), np.frombuffer(raw, "u1", n, 16 * n)
-    ends = np.cumsum(sizes, dtype=np.int64) + 17 * n
-    return d, s, hot, [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        d, s, c, shard, hot = unsqueeze(blob, "<i8", "<u4", "<u4", "<u8", "u1")
+        runs = [texts[doc][start : start + n + SPAN - 1] for doc, start, n in zip(d.tolist(), s.tolist(), c.tolist())]
+        made.append(batch(RUN, [shard.view(np.int64), d, s.astype(np.int64), hot.astype(bool), runs]))
+    return pa.Table.from_batches(made, RUN)
 
 
 def stretches(docs: np.ndarray, places: np.ndarray):
@@ -369,35 +363,40 @@ def stretches(docs: np.ndarray, places: np.ndarray):
     return docs[heads], places[heads].astype(np.uint32), np.diff(np.append(heads, len(docs))).astype(np.uint32)
 
 
-def sort(batches, groups: int, shards: int):
+def sort(batches, groups: int):
     """Suffix arrays over the shards of a task, a few at a time; a shard stays whole. Rows come sorted by shard."""
-    held, size, last = [], 0, None
+    held, size, last, gone = [], 0, None, []
 
     def solve():
         d, s, hot = (np.concatenate([x[i] for x in held]) for i in range(3))
         texts = [t for x in held for t in x[3]]
         run, place, later, lead = earliest(texts, d, s)
-        at = s.astype(np.int64)[run] + place
-        found = stretches(d[run[later]], at[later])
-        yield from dealt(receiver(found[0], groups), FOUND, list(found))
-        first = lead & (hot[run] > 0)
+        at = s[run] + place
+        gone.append(stretches(d[run[later]], at[later]))
+        first = lead & hot[run]
         if first.any():
             digests = b"".join([xxhash.xxh3_128_digest(texts[r][p : p + SPAN]) for r, p in zip(run[first].tolist(), place[first].tolist())])
             digests = np.frombuffer(digests, "<u8").reshape(-1, 2)
             by = np.lexsort((digests[:, 1], digests[:, 0]))
-            yield from dealt((digests[by, 0] % U64(shards)).astype(np.int64), HOT, [digests[by, 0], digests[by, 1], d[run[first]][by], at[first][by]])
+            yield from dealt((digests[by, 0] % U64(groups)).astype(np.int64), HOT, [digests[by, 0], digests[by, 1], d[run[first]][by], at[first][by]])
 
     for b in batches:
-        for to, blob in zip(b.column("to").to_pylist(), b.column("blob").to_pylist()):
-            if size >= SHARD_BYTES and to != last:
+        to, d, s, hot = (b.column(c).to_numpy(zero_copy_only=False) for c in ("to", "doc", "start", "hot"))
+        texts = b.column("text").to_pylist()
+        heads = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+        for i, j in zip(heads, [*heads[1:], len(to)]):
+            if size >= SHARD_BYTES and to[i] != last:
                 yield from solve()
                 held, size = [], 0
-            held.append(unpack_runs(blob))
-            size += sum(map(len, held[-1][3]))
-            last = to
+            held.append((d[i:j], s[i:j], hot[i:j], texts[i:j]))
+            size += sum(map(len, texts[i:j]))
+            last = to[i]
     if held:
         yield from solve()
         held.clear()
+    if gone:
+        found = [np.concatenate(x) for x in zip(*gone)]
+        yield from dealt(receiver(found[0], groups), FOUND, found)
     give_back()
 
 
@@ -473,8 +472,8 @@ def repeated_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame
     to = F.pmod(F.xxhash64("key"), F.lit(groups)).cast("long")
     grouped = docs.select(*columns, "key", to.alias("to")).repartition(n, "to")
     cut = lambda a, b: fetch(a, b, key_at, text_at)
-    texts = grouped.groupBy("to").cogroup(met.where(F.col("kind") == WANTED).groupBy("to")).applyInArrow(cut, SPEC)
-    sorted_ = texts.repartition(n, "to").sortWithinPartitions("to").mapInArrow(lambda b: sort(b, groups, shards), SPEC)
+    texts = grouped.groupBy("to").cogroup(met.where(F.col("kind") == WANTED).groupBy("to")).applyInArrow(cut, RUN_SPEC)
+    sorted_ = texts.repartition(n, "to").sortWithinPartitions("to").mapInArrow(lambda b: sort(b, groups), SPEC)
     sorted_ = materialize(sorted_, "suffix-sorted")
     hot = sorted_.where(F.col("kind") == HOT).repartition(n, "to").sortWithinPartitions("to").mapInArrow(lambda b: merge(b, groups), SPEC)
     found = met.where(F.col("kind") == FOUND).unionByName(sorted_.where(F.col("kind") == FOUND)).unionByName(hot)
