@@ -235,3 +235,10 @@ def test_suite_queries_take_the_default_grid(monkeypatch):
         seen[n] = catalog.QUERIES[f"suite_{n}_summary"](None, "")
     assert all({cell[3] for cell in cells} == set(SIZES) for cells in seen.values())
     assert all(cells == (suites if n < 4 else matrix).grid(n) for n, cells in seen.items())
+
+
+def test_suite_4_is_generated_once(spark):
+    """The last plan reads stored folds; before, it held the generators of all streams, several times over."""
+    seen = matrix.observe_prefix(spark, matrix.grid(4, sizes=(100,), seeds=(1301,), intensities=(0.05,), controls=("late",)))
+    assert "MapInPandas" not in seen._jdf.queryExecution().toString()
+    assert seen.count() == 8

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources import generators
 from ..sources.generators import CELL_KEY, SEEDS, SIZES
+from ..storage import materialize
 from .compositions import COMPOSITIONS, SIGNATURE
 
 # Fixed values.
@@ -127,6 +128,8 @@ def observe_prefix(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     # a composition without idempotent recovery takes every replayed copy, whatever it has seen
     first = Window.partitionBy(*CELL_KEY, "event_id").orderBy("arrival_seq")
     seen = work.withColumn("fresh", F.row_number().over(first) == 1).withColumn("always", F.col("fresh") | F.col("replay"))
+    # written once: each fold of it is a job of its own, and the driver never plans them all together
+    seen = materialize(seen, "suite-4-seen")
     put = seen.groupBy(*CELL_KEY).agg(
         F.count_if(F.array_contains("fault_tags", "duplicate") & ~F.col("replay")).alias("duplicate"),
         *(F.count_distinct(F.when(F.array_contains("fault_tags", t), F.col("event_id"))).alias(t) for t in ("null_key", "late", "conflict")),
@@ -147,6 +150,7 @@ def observe_prefix(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     hits = met.groupBy(*CELL_KEY).agg(F.count("*").alias("oracle_entities"), *(F.count_if(F.col(e) == F.col("want")).alias(e) for e in ends), *(F.count_if(F.col(e) != F.col("want")).alias(f"{e}_stale") for e in ends))
     times = valid.groupBy(*CELL_KEY, "event_id").agg(F.count("*").alias("n_always"), F.count_if("fresh").alias("n_fresh"))
     found = ids.join(listed, ONCE).join(times, [*CELL_KEY, "event_id"], "left").groupBy(*CELL_KEY).agg(F.count("*").alias("recovery_denominator"), *(x for k in ("always", "fresh") for x in (F.count_if(F.col(f"n_{k}") > 0).alias(f"recovered_{k}"), F.coalesce(F.sum(F.greatest(F.col(f"n_{k}") - 1, F.lit(0))), F.lit(0)).alias(f"leaked_{k}"))))
+    hits, found, put = (materialize(x, f"suite-4-{name}") for name, x in (("hits", hits), ("found", found), ("put", put)))
     one = branched(hits.join(found, CELL_KEY).join(put, CELL_KEY))
     c = F.col
     by = lambda name: F.when(c("idempotent"), c(f"{name}_fresh")).otherwise(c(f"{name}_always"))
