@@ -3,6 +3,7 @@ import math
 import os
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -387,6 +388,43 @@ def test_op4_chunks(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(brute_repeats(rows))
 
 
+def test_op4_sorts_in_little_memory():
+    """Two workers of an executor sort at the same time; what one holds depends neither on the shards of its task nor, by
+    much, on its text."""
+    r = random.Random(31)
+    pool = prose(60_000, 32).encode()
+    texts = [pool[a : a + 100 + r.randrange(60)] for a in (r.randrange(len(pool) - 160) for _ in range(24_000))]
+    columns = [sorted(i % 40 for i in range(len(texts))), list(range(len(texts))), [0] * len(texts), [False] * len(texts), texts]
+    batches = [suffix_dedup.batch(suffix_dedup.RUN, columns)]
+    tracemalloc.start()
+    try:
+        found = list(suffix_dedup.sort(batches, 3))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 << 20
+
+    gone = Counter()
+    for b in found:
+        for blob in b.column("blob").to_pylist():
+            for doc, start, n in zip(*(a.tolist() for a in suffix_dedup.unsqueeze(blob, "<i8", "<u4", "<u4"))):
+                gone.update((doc, start + i) for i in range(n))
+    seen, want = set(), Counter()
+    for to, doc, text in zip(columns[0], columns[1], texts):
+        for i in range(len(text) - 99):
+            if (key := (to, text[i : i + 100])) in seen:
+                want[doc, i] += 1
+            seen.add(key)
+    assert all(k in gone for k in want)
+    # shards that are sorted together also find each other's windows
+    everywhere, first = set(), {}
+    for doc, text in zip(columns[1], texts):
+        for i in range(len(text) - 99):
+            if first.setdefault(text[i : i + 100], (doc, i)) != (doc, i):
+                everywhere.add((doc, i))
+    assert gone.keys() <= everywhere and max(gone.values()) == 1
+
+
 def test_op4_rows_do_not_grow_with_the_square_of_the_partitions():
     """Texts go to shards a row a run, and what a task's shards find is one row for each group of documents."""
     texts = [prose(60, 700 + i) for i in range(4)]

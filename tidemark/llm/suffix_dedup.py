@@ -41,7 +41,8 @@ from .common import batch, documents, give_back, materialize, partitions, slices
 SPAN = 100
 GRAM = 32
 CHUNK = 1 << 20
-SHARD_BYTES = 4 << 20
+#: Text that is sorted at once, with what exceeds it in its last shard. Some 50 bytes of memory go with each byte.
+SHARD_BYTES = 1 << 20
 HOT_RUNS = 4096
 LAST = np.int64(2**63 - 1)
 PLACE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("windows", "<u4")])
@@ -124,36 +125,45 @@ def words8(data: np.ndarray) -> np.ndarray:
     return x
 
 
+def index_type(n: int) -> type:
+    """Of places in n bytes and sums of two of them."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def suffix_array(data: np.ndarray, eights: np.ndarray) -> np.ndarray:
     """Larsson-Sadakane: sort by eight bytes, then refine the groups that aren't single by the rank h places on."""
     n = len(data)
-    order = np.argsort(eights, kind="stable")
+    kind = index_type(n)
+    order = np.argsort(eights, kind="stable").astype(kind)
     head = np.ones(n, bool)
     head[1:] = eights[order[1:]] != eights[order[:-1]]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, kind)
     rank[n] = -1
-    rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
+    rank[order] = np.flatnonzero(head).astype(kind)[np.cumsum(head, dtype=kind) - 1]
     h = 8
     while True:
         alone = head & np.append(head[1:], True)
-        at = np.flatnonzero(~alone)
+        at = np.flatnonzero(~alone).astype(kind)
         if not len(at):
             return order
         some = order[at]
-        group, ahead = rank[some], rank[np.minimum(some + h, n)] + 1
+        ahead = rank[np.minimum(some + kind(h), kind(n))] + kind(1)
+        keys = rank[some].astype(np.int64)
         if h == 8:  # zeros after the end stand for shorter suffixes, which come first
-            ahead = np.where(some + 8 > n, n - some - 9, ahead)
-            keys = group * (2 * n + 20) + ahead + 10
+            keys *= 2 * n + 20
+            keys += np.where(some + kind(8) > n, kind(n) - some - kind(9), ahead) + kind(10)
         else:
-            keys = group * (n + 2) + ahead
-        by = np.argsort(keys, kind="stable")
+            keys *= n + 2
+            keys += ahead
+        del ahead
+        by = np.argsort(keys, kind="stable").astype(kind)
         some, keys = some[by], keys[by]
         order[at] = some
         fresh = np.ones(len(at), bool)
         fresh[1:] = keys[1:] != keys[:-1]
         head[at] = fresh
-        rank[some] = at[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        h *= 2
+        rank[some] = at[np.flatnonzero(fresh).astype(kind)[np.cumsum(fresh, dtype=kind) - 1]]
+        h = min(2 * h, n)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, eights: np.ndarray) -> np.ndarray:
@@ -163,55 +173,64 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, eights: np.ndarray) ->
     suffixes differ; only the latter are compared, the others follow.
     """
     n = len(data)
-    before = np.empty(n, np.int64)
+    kind = index_type(n)
+    before = np.empty(n, kind)
     before[order[1:]], before[order[0]] = order[:-1], -1
     prior = before - 1
     own = np.ones(n, bool)
     own[1:] = (prior[1:] < 0) | (data[:-1] != data[np.maximum(prior[1:], 0)])
-    at = np.flatnonzero(own & (before >= 0))
-    shared = np.zeros(n, np.int64)
-    left, right, open_ = at.copy(), before[at], at
-    eights = np.append(eights, U64(0))
+    open_ = np.flatnonzero(own & (before >= 0)).astype(kind)
+    shared = np.zeros(n, kind)
+    left, right = open_.copy(), before[open_]
+    del before, prior
     while len(open_):
         diff = eights[left] ^ eights[right]
         same = diff == 0
-        part = np.zeros(len(diff), np.int64)
+        part = np.zeros(len(diff), kind)
         for k in range(1, 9):
             part += (diff >> U64(64 - 8 * k)) == 0
         room = n - np.maximum(left, right)
         shared[open_] += np.minimum(part, room)
         on = same & (room > 8)
-        open_, left, right = open_[on], left[on] + 8, right[on] + 8
-    spread = np.where(own, shared + np.arange(n), 0)
-    shared = np.maximum.accumulate(spread) - np.arange(n)
+        open_, left, right = open_[on], left[on] + kind(8), right[on] + kind(8)
+    places = np.arange(n, dtype=kind)
+    shared += places
+    shared[~own] = 0
+    shared = np.maximum.accumulate(shared) - places
     shared[order[0]] = 0
     return shared[order]
 
 
 def earliest(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over all windows of some runs: number of the run, place in it, whether it starts earlier elsewhere, and whether it
-    is the first of its group."""
+    """Over all windows of some runs (of 100 bytes or more): number of the run, place in it, whether it starts earlier
+    elsewhere, and whether it is the first of its group."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     eights = words8(data)
     order = suffix_array(data, eights)
     shared = common_prefixes(data, order, eights)
-    run = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    del eights
+    groups = np.cumsum(shared < SPAN, dtype=order.dtype)
+    del shared
+    edges = np.cumsum(sizes) - sizes
+    inside = np.zeros(len(data) + 1, np.int8)  # windows of runs: all but the last 99 places of each
+    inside[edges] += 1
+    inside[edges + sizes - SPAN + 1] -= 1
+    window = np.cumsum(inside[:-1], dtype=np.int8).view(bool)[order]
+    order, groups = order[window], groups[window]
+    run = np.repeat(np.arange(len(texts), dtype=order.dtype), sizes)[order]
+    place = order - edges.astype(order.dtype)[run]
     ranks = np.unique(docs, return_inverse=True)[1].astype(np.int64)
     where = (ranks[run] << 33) + starts.astype(np.int64)[run] + place
-    groups = np.cumsum(shared < SPAN)
-    window = (place + SPAN <= sizes[run])[order]
-    order, groups = order[window], groups[window]
     heads = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, np.int64)
-    least = np.minimum.reduceat(where[order], heads) if len(heads) else heads
+    least = np.minimum.reduceat(where, heads) if len(heads) else heads
     first = np.repeat(least, np.diff(np.append(heads, len(order))))
-    later = where[order] > first
+    later = where > first
     lead = np.zeros(len(order), bool)
     if len(heads):
         nth = np.flatnonzero(~later)
         lead[nth[np.append(True, groups[nth][1:] != groups[nth][:-1])]] = True
-    return run[order], place[order], later, lead
+    return run, place, later, lead
 
 
 # -- the steps ---------------------------------------------------------------------------------------------------------
