@@ -388,6 +388,53 @@ def test_op4_chunks(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(brute_repeats(rows))
 
 
+def test_op4_equal_runs_are_not_sorted():
+    """A value whose runs are all equal is done once they are folded."""
+    copies = [prose(3000, 41), prose(3000, 42)]
+    got = []
+    for task in range(3):
+        rows = {"doc_id": [2 * task, 2 * task + 1], "text": copies}
+        got += list(suffix_dedup.scout([pa.RecordBatch.from_pydict(rows)], 1))
+    met = [x for b in suffix_dedup.meet(got, 1, 16, 4096) for x in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist())]
+    assert not [k for k, _ in met if k == suffix_dedup.WANTED]
+    gone = Counter()
+    for _, blob in met:
+        for doc, n in zip(*(a.tolist() for a in suffix_dedup.unsqueeze(blob, "<i8", "<u4", "<u4")[::2])):
+            gone[doc] += n
+    assert gone == {doc: len(copies[doc % 2].encode()) - 99 for doc in range(2, 6)}
+
+
+def test_op4_hot_windows_go_out_once(monkeypatch):
+    """The first places of hot windows go from a task that sorts, and what is found of them from one that merges, in one
+    blob for each receiver, however many shards and arrays there are."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100)
+    r = random.Random(43)
+    pool = prose(4000, 44).encode()
+    texts = [pool[a : a + 100 + r.randrange(60)] for a in (r.randrange(len(pool) - 160) for _ in range(600))]
+    groups, tasks, found, hot = 3, 4, [], []
+    for task in range(tasks):
+        at = range(task, len(texts), tasks)
+        columns = [[i // 12 for i in at], list(at), [0] * len(at), [True] * len(at), [texts[i] for i in at]]
+        out = [x for b in suffix_dedup.sort([suffix_dedup.batch(suffix_dedup.RUN, columns)], groups) for x in zip(*(b.column(c).to_pylist() for c in ("to", "kind", "blob")))]
+        hot.append([x for x in out if x[1] == suffix_dedup.HOT])
+        found += [x for x in out if x[1] == suffix_dedup.FOUND]
+        assert len({x[0] for x in hot[-1]}) == len(hot[-1]) == groups
+    rows = sorted((x for h in hot for x in h), key=lambda x: x[0])
+    merged = [x for b in suffix_dedup.merge([suffix_dedup.batch(suffix_dedup.BLOB, list(zip(*rows)))], groups) for x in b.column("to").to_pylist()]
+    assert 0 < len(merged) <= groups
+    found += [x for b in suffix_dedup.merge([suffix_dedup.batch(suffix_dedup.BLOB, list(zip(*rows)))], groups) for x in zip(*(b.column(c).to_pylist() for c in ("to", "kind", "blob")))]
+    gone = set()
+    for _, _, blob in found:
+        for doc, start, n in zip(*(a.tolist() for a in suffix_dedup.unsqueeze(blob, "<i8", "<u4", "<u4"))):
+            gone |= {(doc, start + i) for i in range(n)}
+    first, want = {}, set()
+    for doc, text in enumerate(texts):
+        for i in range(len(text) - 99):
+            if first.setdefault(text[i : i + 100], (doc, i)) != (doc, i):
+                want.add((doc, i))
+    assert gone == want
+
+
 def test_op4_sorts_in_little_memory():
     """Two workers of an executor sort at the same time; what one holds depends neither on the shards of its task nor, by
     much, on its text."""

@@ -5,13 +5,14 @@ a 32-byte gram. Equal windows have equal least grams, so all copies of a window
 they are, and a run whose value occurs nowhere else holds no repeated window.
 
 1. scout: hashes of runs go to a task by routing value; runs alone with theirs are done. Equal runs are folded to
-   their first place, in the task that reads them and again where they meet, so very common passages shrink first.
+   their first place, in the task that reads them and again where they meet, so very common passages shrink first; a
+   value that has one distinct run then is done, too.
 2. fetch: the text of each distinct run that is left is cut from its document and sent to the shard of its value, a row
    a run: a blob for each document group and shard would be as many as the square of the partitions.
 3. sort: a shard builds the suffix array of its runs (Larsson-Sadakane refinement in numpy), common prefixes of
    neighbours (Kasai, by irreducible positions) and so the groups of equal windows with their first place.
    A value with more than `hot_runs` distinct runs is cut into several shards; the first places of their windows
-   meet in tasks by digest and are merged by binary search in one another's sorted arrays.
+   meet in tasks by digest, an array from each task that sorted, and are merged by binary search.
 4. apply: each document drops the bytes of its windows that start earlier elsewhere.
 
 Else only blobs of packed arrays are shuffled between the steps; nothing of the corpus reaches the driver.
@@ -41,6 +42,8 @@ from .common import batch, documents, give_back, materialize, partitions, slices
 SPAN = 100
 GRAM = 32
 CHUNK = 1 << 20
+#: First places of hot windows that a task holds before they go out.
+HOT_HELD = 1 << 20
 #: Text that is sorted at once, with what exceeds it in its last shard. Some 50 bytes of memory go with each byte.
 SHARD_BYTES = 1 << 20
 HOT_RUNS = 4096
@@ -356,6 +359,8 @@ def meet(batches, groups: int, shards: int, hot_runs: int):
         return
     heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
     distinct = np.repeat(np.diff(np.append(heads, len(v))), np.diff(np.append(heads, len(v))))
+    some = distinct > 1  # no two windows of a run are equal
+    v, h, d, s, c, distinct = v[some], h[some], d[some], s[some], c[some], distinct[some]
     hot = distinct > hot_runs
     salt = np.where(hot, h % np.maximum(1, -(-distinct // hot_runs)).astype(U64), U64(0)).astype(U64)
     shard = mix(v + salt * U64(0x9E3779B97F4A7C15)) % U64(shards)
@@ -371,7 +376,7 @@ def fetch(docs: pa.Table, wants: pa.Table, key_at: int, text_at: int):
         d, s, c, shard, hot = unsqueeze(blob, "<i8", "<u4", "<u4", "<u8", "u1")
         runs = [texts[doc][start : start + n + SPAN - 1] for doc, start, n in zip(d.tolist(), s.tolist(), c.tolist())]
         made.append(batch(RUN, [shard.view(np.int64), d, s.astype(np.int64), hot.astype(bool), runs]))
-    return pa.Table.from_batches(made, RUN)
+    return pa.Table.from_batches(made, RUN).combine_chunks()  # else each goes to Spark by itself
 
 
 def stretches(docs: np.ndarray, places: np.ndarray):
@@ -384,9 +389,10 @@ def stretches(docs: np.ndarray, places: np.ndarray):
 
 def sort(batches, groups: int):
     """Suffix arrays over the shards of a task, a few at a time; a shard stays whole. Rows come sorted by shard."""
-    held, size, last, gone = [], 0, None, []
+    held, size, last, gone, firsts, waiting = [], 0, None, [], [], 0
 
     def solve():
+        nonlocal waiting
         d, s, hot = (np.concatenate([x[i] for x in held]) for i in range(3))
         texts = [t for x in held for t in x[3]]
         run, place, later, lead = earliest(texts, d, s)
@@ -396,8 +402,19 @@ def sort(batches, groups: int):
         if first.any():
             digests = b"".join([xxhash.xxh3_128_digest(texts[r][p : p + SPAN]) for r, p in zip(run[first].tolist(), place[first].tolist())])
             digests = np.frombuffer(digests, "<u8").reshape(-1, 2)
-            by = np.lexsort((digests[:, 1], digests[:, 0]))
-            yield from dealt((digests[by, 0] % U64(groups)).astype(np.int64), HOT, [digests[by, 0], digests[by, 1], d[run[first]][by], at[first][by]])
+            firsts.append((digests[:, 0], digests[:, 1], d[run[first]], at[first]))
+            waiting += len(digests)
+
+    def send():
+        nonlocal waiting
+        a, b, d, p = map(np.concatenate, zip(*firsts))
+        firsts.clear()
+        waiting = 0
+        by = np.lexsort((p, d, b, a))
+        a, b, d, p = a[by], b[by], d[by], p[by]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        gone.append(stretches(d[~fresh], p[~fresh]))
+        yield from dealt((a[fresh] % U64(groups)).astype(np.int64), HOT, [a[fresh], b[fresh], d[fresh], p[fresh]])
 
     for b in batches:
         to, d, s, hot = (b.column(c).to_numpy(zero_copy_only=False) for c in ("to", "doc", "start", "hot"))
@@ -405,14 +422,18 @@ def sort(batches, groups: int):
         heads = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
         for i, j in zip(heads, [*heads[1:], len(to)]):
             if size >= SHARD_BYTES and to[i] != last:
-                yield from solve()
+                solve()
                 held, size = [], 0
+                if waiting >= HOT_HELD:
+                    yield from send()
             held.append((d[i:j], s[i:j], hot[i:j], texts[i:j]))
             size += sum(map(len, texts[i:j]))
             last = to[i]
     if held:
-        yield from solve()
+        solve()
         held.clear()
+    if firsts:
+        yield from send()
     if gone:
         found = [np.concatenate(x) for x in zip(*gone)]
         yield from dealt(receiver(found[0], groups), FOUND, found)
@@ -420,36 +441,54 @@ def sort(batches, groups: int):
 
 
 def merge(batches, groups: int):
-    """First places of hot windows from several shards: each sorted array is searched in the merged one."""
-    held, last = [], None
+    """First places of hot windows from several shards: each sorted array is searched in the merged one. What a task
+    finds goes out together."""
+    held, last, gone, waiting = [], None, [], 0
 
     def solve():
-        kind = np.dtype([("a", "<u8"), ("b", "<u8")])
-        arrays = []
-        for a, b, d, p in held:
-            k = np.empty(len(a), kind)
-            k["a"], k["b"] = a, b
-            arrays.append((k, d, p))
-        keys = np.unique(np.concatenate([k for k, _, _ in arrays]))
+        nonlocal waiting
+        a, b = (np.concatenate([x[i] for x in held]) for i in range(2))
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        keys = np.empty(fresh.sum(), [("a", "<u8"), ("b", "<u8")])
+        keys["a"], keys["b"] = a[fresh], b[fresh]
+        if (keys["a"][1:] != keys["a"][:-1]).all():
+            spots = [np.searchsorted(keys["a"], x[0]) for x in held]
+        else:
+            spots = [np.searchsorted(keys, np.rec.fromarrays(x[:2], keys.dtype)) for x in held]
         doc, place = np.full(len(keys), LAST), np.full(len(keys), LAST)
-        spots = [np.searchsorted(keys["a"], k["a"]) if len(np.unique(keys["a"])) == len(keys) else np.searchsorted(keys, k) for k, _, _ in arrays]
-        for spot, (_, d, p) in zip(spots, arrays):
+        for spot, (_, _, d, p) in zip(spots, held):
             better = (d < doc[spot]) | ((d == doc[spot]) & (p < place[spot]))
             doc[spot[better]], place[spot[better]] = d[better], p[better]
-        for spot, (_, d, p) in zip(spots, arrays):
+        for spot, (_, _, d, p) in zip(spots, held):
             later = (d != doc[spot]) | (p != place[spot])
-            found = stretches(d[later], p[later])
-            yield from dealt(receiver(found[0], groups), FOUND, list(found))
+            if later.any():
+                gone.append((d[later], p[later]))
+                waiting += int(later.sum())
+
+    def send():
+        nonlocal waiting
+        found = stretches(*map(np.concatenate, zip(*gone)))
+        gone.clear()
+        waiting = 0
+        yield from dealt(receiver(found[0], groups), FOUND, list(found))
 
     for b in batches:
         for to, blob in zip(b.column("to").to_pylist(), b.column("blob").to_pylist()):
             if held and to != last:
-                yield from solve()
+                solve()
                 held = []
+                if waiting >= HOT_HELD:
+                    yield from send()
             held.append(unsqueeze(blob, "<u8", "<u8", "<i8", "<i8"))
             last = to
     if held:
-        yield from solve()
+        solve()
+        held.clear()
+    if gone:
+        yield from send()
+    give_back()
 
 
 def spans_of(size: int, starts: np.ndarray, windows: np.ndarray) -> list[tuple[int, int]]:
