@@ -273,6 +273,22 @@ def test_near_copies_of_one_piece(spark, crowd, limit):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_long_texts_that_differ_are_ruled_out_by_sketches(spark, monkeypatch):
+    """The whole sets of long texts move only for pairs that are likely; sketches of two lengths are compared, too."""
+    near_copies = simhash_dedup.near_copies
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    texts = [words("a", 9000), words("b", 9000), words("c", 20_000), words("c", 17_000)]  # 2 and 3: similar
+    texts += [words("d", 2000), words("d", 2400), words("e", 5000), words("e", 3000)]  # 4 and 5: similar, 2,048 and 4,096 bits
+    assert [len(near_copies.long_sketch(near_copies.shingles(texts[i]))) for i in (4, 5, 6)] == [32, 64, 128]
+    docs = near_copies.with_nodes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    node = {r["doc_id"]: r["node"] for r in docs.collect()}
+    pairs = [(node[i], node[j]) for i, j in ((0, 1), (2, 3), (5, 4), (6, 7))]
+    moved, similar = [], near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda docs, pairs: [moved.append(pairs.collect()), similar(docs, pairs)][1])
+    got = near_copies.tested(docs, spark.createDataFrame(pairs, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, moved[0])) == sorted(pairs[1:3])
+
+
 def test_texts_below_the_similarity_stay(spark):
     texts = []
     for i in range(40):

@@ -250,6 +250,14 @@ def sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def long_sketch(members: np.ndarray) -> np.ndarray:
+    """A sketch of at least as many bits as members: a fixed number is half turned by any large set, and tells none
+    apart. One of twice as many bits is folded by turning each bit of its first half by that of the second."""
+    n = SKETCH_BITS << (max(0, len(members) - 1) // SKETCH_BITS).bit_length()
+    bits = np.bincount((members >> np.uint64(40)).astype(np.int64) % n, minlength=n) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def bitmap(nodes: DataFrame) -> np.ndarray:
     """A bit for each node, of a fixed number; some others' are set with them."""
     arrow = pa.schema([("bits", pa.binary())])
@@ -314,9 +322,16 @@ def beside(docs: DataFrame, pairs: DataFrame, make) -> DataFrame:
 
 def tested(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of nodes, those of a similarity of 0.8 and more. Sketches rule most others out first."""
-    both = F.col("n_a") + F.col("n_b")
-    turned = F.aggregate(F.zip_with("value_a", "value_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return similar(docs, settled(lambda: beside(docs, pairs, sketch).where(9 * turned <= both).select("a", "b"), "near-likely"))
+    both, turn = F.col("n_a") + F.col("n_b"), lambda x, y: x.bitwiseXOR(y)
+
+    def folded(x, y):
+        half = F.size(y)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), turn)).otherwise(F.col(x))
+
+    # sizes that allow a similarity of 0.8 give sketches of one length or of twice that
+    alike = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+    turned = F.aggregate(F.zip_with(folded("value_a", "value_b"), folded("value_b", "value_a"), lambda x, y: F.bit_count(turn(x, y))), F.lit(0), lambda x, y: x + y)
+    return similar(docs, settled(lambda: beside(docs, pairs, long_sketch).where(alike & (9 * turned <= both)).select("a", "b"), "near-likely"))
 
 
 def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -392,7 +407,7 @@ def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesse
     sketches = of_nodes(docs, crowds.select("node").distinct(), sketch).select("node", "value")
     # the likeliest pairs first, as most texts that are left join their group by them
     best = materialize(asked(crowds, sketches, True, n, limit).join(pairs, ["a", "b"], "left_anti"), "near-best")
-    links = settled(lambda: links.unionByName(similar(docs, best)), "near-links")
+    links = settled(lambda: links.unionByName(tested(docs, best)), "near-links")
     joined = components(links)
     crowds = settled(lambda: mixed(crowds.drop("part"), joined), "near-mixed")
     if crowds.isEmpty():
@@ -401,4 +416,4 @@ def near_links(docs: DataFrame, crowd: int = CROWD, sample: int = SAMPLE, guesse
     more = materialize(more, "near-across")
     if more.isEmpty():
         return joined
-    return components(settled(lambda: links.unionByName(similar(docs, more)), "near-links"))
+    return components(settled(lambda: links.unionByName(tested(docs, more)), "near-links"))
